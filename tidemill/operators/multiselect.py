@@ -1,0 +1,103 @@
+"""Exact percentiles per group by distributed multi-select, and mergeable sketches with a stated error."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemill.operators.spikes import quantile_sketch, sketch_rank
+from tidemill.plans.physical import materialize, sized_join
+
+#: Accuracy of a partition's proposal: its local median may be off by 1/PROPOSAL of its own rows.
+PROPOSAL = 200
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Percentiles with linear interpolation, exact: (keys..., share, percentile, n).
+
+    Multi-select over all groups and ranks at once. In each round every partition proposes the median of its own
+    candidates per group and open range; the weighted median of the proposals becomes the pivot; candidates are counted
+    three ways against it; ranges in which no wanted rank lies are discarded, and the others go on until every rank's
+    value has been a pivot. Equal values count as one candidate with a weight. Weighted medians discard at least about a
+    quarter of a range, in practice half, so rounds grow with the logarithm of the largest group; no round moves more
+    than one proposal per range and partition. Values are compared as DOUBLE; null and NaN values are not counted, so a
+    group without other values has no row. Null keys form a group.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        *keys, F.col(value).cast("double").alias("v")
+    )
+    # A range is named by the sides (l, h) taken at its pivots so far.
+    candidates = materialize(rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w")).withColumn("range", F.lit("")))
+    sizes = materialize(candidates.groupBy(*keys).agg(F.sum("w").alias("n")))
+    wanted = sizes.select(*keys, "n", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    at = F.col("share") * (F.col("n") - 1)
+    ranks = wanted.select(*keys, "n", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank")).distinct()
+    # An open rank: its place among the candidates of its range.
+    state = materialize(ranks.select(*keys, "rank", F.lit("").alias("range"), F.col("rank").alias("place")))
+    found: list[DataFrame] = []
+    group = [*keys, "range"]
+    while True:
+        local = candidates.groupBy(*group, F.spark_partition_id().alias("part")).agg(
+            F.percentile_approx("v", 0.5, PROPOSAL).alias("proposal"), F.sum("w").alias("weight")
+        )
+        pivots = materialize(local.groupBy(*group).agg(F.percentile("proposal", F.lit(0.5), F.col("weight")).alias("pivot")))
+        sides = sized_join(candidates, pivots, group, ["v"])
+        counts = sides.groupBy(*group, "pivot").agg(
+            F.sum(F.when(F.col("v") < F.col("pivot"), F.col("w")).otherwise(0)).alias("below"),
+            F.sum(F.when(F.col("v") == F.col("pivot"), F.col("w")).otherwise(0)).alias("equal"),
+        )
+        counts = counts.withColumnsRenamed({k: f"c_{k}" for k in group})
+        same = F.lit(True)
+        for k in group:
+            same = same & F.col(k).eqNullSafe(F.col(f"c_{k}"))
+        after = F.col("place") - F.col("below") - F.col("equal")
+        judged = materialize(
+            state.join(counts, same)
+            .withColumn("side", F.when(F.col("place") < F.col("below"), F.lit("l")).when(after < 0, F.lit("=")).otherwise(F.lit("h")))
+            .select(*keys, "rank", "range", "side", "pivot", F.when(F.col("side") == "h", after).otherwise(F.col("place")).alias("place"))
+        )
+        found.append(judged.where(F.col("side") == "=").select(*keys, "rank", F.col("pivot").alias("value")))
+        state = judged.where(F.col("side") != "=").select(*keys, "rank", F.concat("range", "side").alias("range"), "place")
+        still_open = state.count()
+        if not still_open:
+            break
+        side = F.when(F.col("v") < F.col("pivot"), F.lit("l")).when(F.col("v") > F.col("pivot"), F.lit("h"))
+        moved = sides.withColumn("side", side).where(F.col("side").isNotNull()).select(*keys, "v", "w", F.concat("range", "side").alias("range"))
+        candidates = materialize(sized_join(moved, state.select(*group).distinct(), group, ["v"], "left_semi", rows=still_open))
+    values = found[0]
+    for f in found[1:]:
+        values = values.unionByName(f)
+    values = values.withColumnsRenamed({k: f"v_{k}" for k in keys})
+    low = F.floor(at)
+    marked = wanted.withColumns({"low": low, "part": at - low})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"v_{k}"))
+    both = marked.join(values, same & ((F.col("rank") == F.col("low")) | ((F.col("rank") == F.col("low") + 1) & (F.col("part") > 0))))
+    out = both.groupBy(*keys, "share", "n", "part").agg(F.min_by("value", "rank").alias("a"), F.max_by("value", "rank").alias("b"))
+    return out.select(*keys, "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("percentile"), "n")
+
+
+def daily_sketches(df: DataFrame, keys: list[str], ts: str, value: str, error: float) -> DataFrame:
+    """One mergeable sketch per key and day: (keys..., day_no, bucket, n); see quantile_sketch."""
+    day = F.floor(F.unix_micros(F.col(ts)) / F.lit(86_400_000_000)).cast("bigint")
+    return quantile_sketch(df.withColumn("day_no", day), [*keys, "day_no"], value, error)
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of any parts (partitions, days) put together into one per key."""
+    return sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_percentiles(sketch: DataFrame, keys: list[str], shares: Sequence[float], error: float) -> DataFrame:
+    """Percentiles from a sketch, each within the relative `error` of the value at its rank: (keys..., share, percentile)."""
+    parts = [sketch_rank(sketch, keys, s, "percentile", error).withColumn("share", F.lit(float(s))) for s in shares]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+__all__ = ["daily_sketches", "merge_sketches", "percentiles", "sketch_percentiles"]
