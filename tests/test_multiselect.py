@@ -1,0 +1,38 @@
+"""Exact percentiles against numpy, and the stated error of merged sketches."""
+
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+
+from tidemill.operators import multiselect
+
+
+def test_percentiles(spark):
+    rng = random.Random(2)
+    data = [(k, float(rng.choice([rng.gauss(0, 100), 7, rng.randrange(20)]))) for k, n in (("a", 700), ("b", 3), (None, 40), ("one", 1)) for _ in range(n)] + [("a", None), ("a", float("nan")), ("none", None)]
+    df = spark.createDataFrame([(*r, 1) for r in data], "k string, x double, n int").repartition(5)
+    got = {(r["k"], r["share"]): r["percentile"] for r in multiselect.percentiles(df, ["k"], "x", [0.0, 0.5, 0.94, 1.0]).collect()}
+    for k in ("a", "b", None, "one"):
+        values = [v for x, v in data if x == k and v is not None and v == v]
+        for s in (0.0, 0.5, 0.94, 1.0):
+            assert got[k, s] == pytest.approx(np.quantile(values, s))
+    assert len(got) == 16
+
+
+def test_equal_values_and_empty(spark, rows):
+    df = spark.createDataFrame([("a", 5)] * 50, "k string, x bigint")
+    assert rows(multiselect.percentiles(df, ["k"], "x", [0.5])) == [("a", 0.5, 5.0, 50)]
+    assert rows(multiselect.percentiles(df.where("false"), ["k"], "x", [0.5])) == []
+
+
+def test_merged_sketch_error(spark):
+    rng = random.Random(4)
+    day = lambda k: dt.datetime(1970, 1, 1 + k % 20, tzinfo=dt.timezone.utc)
+    data = [("a", day(k), int(rng.lognormvariate(6, 2)) + 1) for k in range(3000)]
+    sketches = multiselect.daily_sketches(spark.createDataFrame(data, "k string, t timestamp, x bigint"), ["k"], "t", "x", 0.01)
+    values = sorted(v for *_, v in data)
+    for r in multiselect.sketch_percentiles(multiselect.merge_sketches(sketches, ["k"]), ["k"], [0.5, 0.95, 0.99], 0.01).collect():
+        exact = values[int(np.ceil(r["share"] * len(values))) - 1]
+        assert abs(r["percentile"] - exact) <= 0.01 * exact
