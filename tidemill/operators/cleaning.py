@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import coerce_numeric, epoch_to_timestamp, is_missing, label_or_missing
+from tidemill.plans.windows import with_previous
 
 RAW = ["timestamp", "model", "request_tokens", "response_tokens", "total_tokens", "log_type"]
 OPTIONAL = ["session_id", "elapsed_time"]
@@ -126,16 +127,18 @@ def zero_output(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFra
     return df.groupBy(*keys).agg(F.count_if(n == 0).alias("zero_rows"), F.count(n).alias("numeric_rows")).withColumn("zero_ratio", F.try_divide(F.col("zero_rows").cast("double"), F.col("numeric_rows")))
 
 
-def order_gaps(df: DataFrame, file: str, order: str, seconds: Column, threshold: float = 3600.0) -> DataFrame:
-    """(file, max_gap, gaps_over, negative_steps) between successive rows of a file, in the order of `order`.
+def order_gaps(df: DataFrame, file: str, order: str, seconds: Column, threshold: float = 3600.0, block_rows: int = 500_000) -> DataFrame:
+    """(file, max_gap, gaps_over, negative_steps) between successive rows of a file, in the order of the number `order`.
 
-    Rows without a time are left out before steps are taken; max_gap is at least 0.
+    Rows without a time are left out before steps are taken; max_gap is at least 0. Files are cut into blocks of
+    `block_rows` numbers, so that one large file is many tasks.
     """
-    by = Window.partitionBy(file).orderBy(order)
-    steps = df.withColumn("__s", seconds).where(F.col("__s").isNotNull()).withColumn("__d", F.col("__s") - F.lag("__s").over(by))
-    return steps.groupBy(file).agg(
-        F.greatest(F.coalesce(F.max("__d"), F.lit(0.0)), F.lit(0.0)).alias("max_gap"), F.count_if(F.col("__d") > threshold).alias("gaps_over"), F.count_if(F.col("__d") < 0).alias("negative_steps")
+    timed = df.select(F.col(file).alias("file"), F.col(order).alias("o"), seconds.alias("s")).where(F.col("s").isNotNull()).withColumn("block", F.floor(F.col("o") / F.lit(block_rows)))
+    step = F.col("s") - F.col("before")
+    out = with_previous(timed, ["file"], "block", ["o"], "s", "before").groupBy("file").agg(
+        F.greatest(F.coalesce(F.max(step), F.lit(0.0)), F.lit(0.0)).alias("max_gap"), F.count_if(step > threshold).alias("gaps_over"), F.count_if(step < 0).alias("negative_steps")
     )
+    return out.withColumnRenamed("file", file)
 
 
 def extent(cleaned: DataFrame, keys: Sequence[str]) -> DataFrame:

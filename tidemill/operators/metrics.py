@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import ratio_or_zero, smape_term
+from tidemill.operators.spikes import bucket_of
 
 #: Orders of rows in reports.
 HORIZON_ORDER = [15, 5, 60]
@@ -42,14 +43,27 @@ def evaluate(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def score_steps(predictions: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """(keys..., score, tp, n, seen_tp, seen_n, all_tp): one row per distinct score, from the highest, with running sums.
+    """(keys..., score, tp, n, seen_tp, seen_n, all_tp, step, steps): one row per distinct score, from the highest (step 0), with running sums.
 
-    Equal scores are one step. Sums come first, so a group's running window holds distinct scores, not rows.
+    Equal scores are one step. The running sums go over ranges of scores first and then within each range, so that all
+    scores of one model need not pass through one task.
     """
     w = F.lit(1).cast("bigint") if weight is None else weight
-    steps = predictions.groupBy(*keys, F.col("y_pred").alias("score")).agg(F.sum(F.when(F.col("actual_burst"), w).otherwise(0)).alias("tp"), F.sum(w).alias("n"))
-    by = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    return steps.withColumns({"seen_tp": F.sum("tp").over(by), "seen_n": F.sum("n").over(by), "all_tp": F.sum("tp").over(Window.partitionBy(*keys))})
+    steps = predictions.groupBy(*keys, F.col("y_pred").alias("score")).agg(F.sum(F.when(F.col("actual_burst"), w).otherwise(0)).alias("tp"), F.sum(w).alias("n")).withColumn("range", bucket_of(F.col("score")))
+    whole, down = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("range"))
+    ranges = steps.groupBy(*keys, "range").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    ranges = ranges.select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("range").alias("__range"), F.sum("tp").over(whole).alias("all_tp"), F.sum("k").over(whole).alias("steps"),
+        *[(F.sum(c).over(down) - F.col(c)).alias(f"__above_{c}") for c in ("tp", "n", "k")],
+    )
+    same = F.col("range") == F.col("__range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    by = Window.partitionBy(*keys, "range").orderBy(F.desc("score"))
+    own = steps.withColumns({"seen_tp": F.sum("tp").over(by), "seen_n": F.sum("n").over(by), "step": F.row_number().over(by) - 1})
+    return own.join(ranges, same).select(
+        *keys, "score", "tp", "n", (F.col("seen_tp") + F.col("__above_tp")).alias("seen_tp"), (F.col("seen_n") + F.col("__above_n")).alias("seen_n"), "all_tp", (F.col("step") + F.col("__above_k")).alias("step"), "steps"
+    )
 
 
 def average_precision(predictions: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:
@@ -61,11 +75,10 @@ def average_precision(predictions: DataFrame, keys: Sequence[str], weight: Colum
 
 def pr_curve(predictions: DataFrame, keys: Sequence[str], points: int = 500) -> DataFrame:
     """(keys..., score, precision, recall) at every distinct score, thinned to at most `points` evenly spaced steps per group."""
-    by = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    curve = score_steps(predictions, keys).withColumns({"__i": F.row_number().over(by) - 1, "__m": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    # Step i stays if it is the first of its share of the group's steps, or the last of all.
-    share = lambda i: F.floor(i * (points - 1) / F.greatest(F.col("__m") - 1, F.lit(1)))
-    kept = curve.where((F.col("__m") <= points) | (F.col("__i") == 0) | (F.col("__i") == F.col("__m") - 1) | (share(F.col("__i")) != share(F.col("__i") - 1)))
+    # A step stays if it is the first of its share of the group's steps, or the last of all.
+    share = lambda i: F.floor(i * (points - 1) / F.greatest(F.col("steps") - 1, F.lit(1)))
+    step = F.col("step")
+    kept = score_steps(predictions, keys).where((F.col("steps") <= points) | (step == 0) | (step == F.col("steps") - 1) | (share(step) != share(step - 1)))
     return kept.select(*keys, "score", (F.col("seen_tp").cast("double") / F.col("seen_n")).alias("precision"), ratio_or_zero(F.col("seen_tp").cast("double"), F.col("all_tp")).alias("recall"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.physical import materialize, sized_join
+from tidemill.plans.windows import with_previous
 
 #: Relative width of a sketch bucket; a quantile read from the sketch is off by at most this share.
 SKETCH_ERROR = 0.02
@@ -122,11 +123,7 @@ def contextual_flags(df: DataFrame, source: str, ts: str, row_id: str, value: st
     q1, q3 = sketch_rank(sketch, ["source", "hour"], 0.25, "q1", error), sketch_rank(sketch, ["source", "hour"], 0.75, "q3", error)
     q3 = q3.withColumnsRenamed({"source": "s3", "hour": "h3"})
     fences = materialize(q1.join(q3, q1["source"].eqNullSafe(q3["s3"]) & (q1["hour"] == q3["h3"])).drop("s3", "h3"))
-    by = Window.partitionBy("source", "day").orderBy("us", "row_id")
-    inside = rows.withColumn("before", F.lag("value").over(by))
-    last = rows.groupBy("source", "day").agg(F.max_by("value", F.struct("us", "row_id")).alias("last"))
-    carried = last.withColumn("carried", F.lag("last").over(Window.partitionBy("source").orderBy("day"))).select(F.col("source").alias("c_source"), F.col("day").alias("c_day"), "carried")
-    linked = inside.join(carried, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("day") == F.col("c_day"))).withColumn("before", F.coalesce("before", "carried"))
+    linked = with_previous(rows, ["source"], "day", ["us", "row_id"], "value", "before")
     spread = F.col("q3") - F.col("q1")
     flagged = sized_join(linked.select("source", "row_id", "hour", "value", "before"), fences, ["source", "hour"], ["row_id"]).withColumns(
         {

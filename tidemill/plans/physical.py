@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.session import shared_dir
@@ -13,6 +13,7 @@ from tidemill.session import shared_dir
 BROADCAST_ROWS = 200_000
 #: Slices a hot key is split into.
 SALTS = 16
+_written: list[str] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -21,10 +22,21 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts the lineage so that a lost executor costs only the reading of files, and gives the planner real sizes.
     """
     path = f"{shared_dir(df.sparkSession)}/tidemill-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete all tables this process has written in between; for when no result that reads them is needed any more."""
+    context = spark.sparkContext
+    conf, n = context._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def salt_of(*cols: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 

@@ -25,3 +25,20 @@ def over_blocks(df: DataFrame, key: str, index: str, build: Callable[[WindowSpec
     spread = df.withColumn("__block", F.explode(F.sequence(first, last)))
     out = spread.withColumns(build(Window.partitionBy(key, "__block").orderBy(index)))
     return out.where(F.floor(F.col(index) / F.lit(block)) == F.col("__block")).drop("__block")
+
+
+def with_previous(df: DataFrame, keys: list[str], block: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the `value` of the row before within keys, by (block, order), the rows of a key being cut into blocks.
+
+    `block` must not fall as the order rises. Inside a block it is a plain lag; the last value of each block is carried to
+    the next one by a window over blocks, so a key that holds a third of all rows is still many tasks. Null keys are keys.
+    """
+    inside = df.withColumn("__in", F.lag(value).over(Window.partitionBy(*keys, block).orderBy(*order)))
+    inside = inside.withColumn("__first", F.row_number().over(Window.partitionBy(*keys, block).orderBy(*order)) == 1)
+    last = df.groupBy(*keys, block).agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    carried = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy(*keys).orderBy(block))).drop("__last").withColumnsRenamed({k: f"__c_{k}" for k in [*keys, block]})
+    same = F.lit(True)
+    for k in [*keys, block]:
+        same = same & F.col(k).eqNullSafe(F.col(f"__c_{k}"))
+    out = inside.join(carried, same, "left").withColumn(name, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__in")))
+    return out.drop("__in", "__first", "__carried", *[f"__c_{k}" for k in [*keys, block]])
