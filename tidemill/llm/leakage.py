@@ -130,14 +130,20 @@ def _weights(items: pa.Table) -> dict[int, float]:
 def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[pa.Table]:
     """The items as Arrow tables (item_id, words) of at most `block_words` words, or of one item.
 
-    The number of blocks grows with the items, the size of what is sent to the workers at once does not.
+    The number of blocks grows with the items, the size of what is sent to the workers at once does not: the split is
+    doubled until the largest part is counted to be small enough.
     """
     cut = materialize(items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("words")))
-    total = cut.agg(F.sum(F.size("words"))).first()[0] or 0
-    parts = max(1, -(-int(total) // (block_words // 2)))
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    parts = 1
+    while True:
+        part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+        sizes = cut.groupBy(part.alias("part")).agg(F.sum(F.size("words")).alias("n"), F.count_distinct("item_id").alias("items"))
+        most = sizes.where(F.col("items") > 1).agg(F.max("n")).first()[0] or 0
+        if most <= block_words:
+            break
+        parts *= 2
     for k in range(parts):
-        yield cut.where(F.col("part") == k).select("item_id", "words").toArrow()
+        yield cut.where(part == k).select("item_id", "words").toArrow()
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", length: int = WINDOW, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
