@@ -57,6 +57,18 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[
     return left.join(right, cond, how).drop("__salt", "__r_salt", *[f"__r_{k}" for k in keys])
 
 
+def skew_semi_join(big: DataFrame, counted: DataFrame, keys: list[str], n: str, parts: int = 10_000) -> DataFrame:
+    """Rows of big whose keys are in counted (written; n: how many rows of big bear the key).
+
+    A key with more than 1 / `parts` of all rows counted is hot; there can be `parts` of them at most, so they are
+    broadcast and their rows stay where they are. All other keys are shuffled, none of them large. Keys are not null.
+    """
+    least = (counted.agg(F.sum(n)).first()[0] or 0) / parts
+    hot = F.broadcast(counted.where(F.col(n) > least).select(*keys))
+    cold = counted.where(F.col(n) <= least).select(*keys)
+    return big.join(hot, keys, "left_semi").unionByName(big.join(hot, keys, "left_anti").join(cold, keys, "left_semi"))
+
+
 def sized_join(big: DataFrame, written: DataFrame, keys: list[str], spread: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Broadcast `written` (a materialized table, or one of `rows` rows at most) if its counted rows prove it small, else the salted join."""
     if (written.count() if rows is None else rows) <= BROADCAST_ROWS:
