@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.plans.physical import materialize, salted_join
+from tidemill.plans.physical import materialize, skew_semi_join
 
 #: Shortest shared span, in code points.
 SPAN = 200
@@ -187,17 +187,19 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     First the winnowed hashes are counted: a span that is shared holds one that is shared. Then every window around the
     shared ones is hashed twice over and counted. Counting is partial before the shuffle, so a passage that a third of
-    all documents hold costs one row a task; its places are found by salted joins. Rows that bear the same doc_id are one
+    all documents hold costs one row a task; its places are found
+    without shuffling its rows. Rows that bear the same doc_id are one
     document. Null ids, null texts and texts shorter than the span have no window.
     """
     prints = materialize(fingerprints(documents, doc_id, text, span))
     several = F.min("doc_id") < F.max("doc_id")
-    repeated = prints.groupBy("hash").agg(several.alias("several")).where("several").select("hash")
+    n = F.count(F.lit(1)).alias("n")
+    repeated = materialize(prints.groupBy("hash").agg(several.alias("several"), n).where("several").select("hash", "n"))
     # As many positions as one document has.
-    regions = salted_join(prints, repeated, ["hash"], ["doc_id"], "left_semi", SLICES).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    regions = skew_semi_join(prints, repeated, ["hash"], "n").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
     windows = materialize(span_windows(documents, regions, doc_id, text, span))
-    repeated = windows.groupBy("h1", "h2").agg(several.alias("several")).where("several").select("h1", "h2")
-    return materialize(salted_join(windows, repeated, ["h1", "h2"], ["doc_id"], "left_semi", SLICES))
+    repeated = materialize(windows.groupBy("h1", "h2").agg(several.alias("several"), n).where("several").select("h1", "h2", "n"))
+    return materialize(skew_semi_join(windows, repeated, ["h1", "h2"], "n"))
 
 
 def sharing_pairs(windows: DataFrame) -> DataFrame:
@@ -211,8 +213,8 @@ def sharing_pairs(windows: DataFrame) -> DataFrame:
     marks = own.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")
     )
-    chosen = marks.groupBy("n", "a", "b", "x", "y").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.*")
-    members = materialize(salted_join(own, chosen, ["h1", "h2"], ["doc_id"], "left_semi", SLICES))
+    chosen = materialize(marks.groupBy("n", "a", "b", "x", "y").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.*", "n"))
+    members = materialize(skew_semi_join(own, chosen, ["h1", "h2"], "n"))
     left = members.select("h1", "h2", F.col("doc_id").alias("doc_id_a"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"))
     right = members.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("doc_id").alias("doc_id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SLICES - 1).cast("bigint"))).alias("s"))
     met = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("slice") == F.col("s")) & (F.col("doc_id_a") < F.col("doc_id_b"))
