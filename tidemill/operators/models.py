@@ -29,8 +29,8 @@ def candidates(n: int, seed: int = 42) -> list[dict]:
 
 
 def fit(train: DataFrame, features: Sequence[str], params: dict, seed: int = 42, log_target: bool = False) -> PipelineModel:
-    """Squared-error trees on the target, or on log(1 + target)."""
-    data = train.withColumn("label", F.log1p("target") if log_target else F.col("target"))
+    """Squared-error trees on the target, or on log(1 + target), where a target below 0 counts as 0."""
+    data = train.withColumn("label", F.log1p(F.greatest("target", F.lit(0.0))) if log_target else F.col("target"))
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), GBTRegressor(featuresCol="features", labelCol="label", predictionCol="y_pred", seed=seed, cacheNodeIds=False, checkpointInterval=-1, **params)]).fit(data)
 
 
