@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.plans.physical import materialize, salted_join
+from tidemill.plans.physical import materialize, sized_join
 
 #: The columns of a trace without a readable header.
 TRACE_COLUMNS = ["timestamp", "model", "request_tokens", "response_tokens", "total_tokens", "log_type"]
@@ -81,7 +81,8 @@ def judge(lines: DataFrame) -> DataFrame:
 
     Input: line_id, source_file, line_no, line; output: those, cells (array), names (array of the file's columns) and
     reason. Cells are exploded into (line, column, value), joined with the rule table and the failures aggregated per
-    line; lines are joined to their file's header by a salted key, as one file may hold a large part of all lines. A
+    line; lines are joined to their file's header by broadcast, or, of many files, by a
+    salted key, as one file may hold a large part of all lines. A
     file without a header line is read with TRACE_COLUMNS; of several header lines the one with the lowest line_id holds.
     Null lines fail as column_count (they have no field); an empty line has one empty field.
     """
@@ -96,7 +97,7 @@ def judge(lines: DataFrame) -> DataFrame:
     )
     records = cells.where(F.coalesce(F.col("line_no") > 1, F.lit(True)))
     default = F.array(*[F.lit(c) for c in TRACE_COLUMNS])
-    return salted_join(records, headers, ["source_file"], ["line_id"], "left").withColumn("names", F.coalesce("names", default))
+    return sized_join(records, materialize(headers), ["source_file"], ["line_id"], "left", row_bytes=1000).withColumn("names", F.coalesce("names", default))
 
 
 def failures(judged: DataFrame) -> DataFrame:

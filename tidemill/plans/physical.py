@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemill.session import shared_dir
 
-#: Rows up to which a written side counts as small enough to broadcast (with at most about 100 bytes a row, 20 MB).
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side may be broadcast: its counted rows times the bytes a row of it takes at most.
+BROADCAST_BYTES = 20_000_000
+ROW_BYTES = 100
 #: Slices a hot key is split into.
 SALTS = 16
 _written: list[str] = []
@@ -45,12 +46,12 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[
     """Join big (its hot keys split into `salts` slices by a hash of `spread`) with small, repeated once a slice.
 
     Null keys meet null keys. how: inner, left, left_semi or left_anti. Columns of small other than keys are appended.
-    A key that holds a third of big is spread over `salts` tasks; where the adaptive planner sees that small is
-    below the broadcast threshold it broadcasts it by its measured size instead.
+    A key that holds a third of big is spread over `salts` tasks. Both sides are shuffled: the planner may not broadcast
+    the repeated side, whose size its estimates do not know; see sized_join for a side that is small.
     """
     left = big.withColumn("__salt", salt_of(*spread, salts=salts))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    right = right.withColumnRenamed("__salt", "__r_salt")
+    right = right.withColumnRenamed("__salt", "__r_salt").hint("merge")
     cond = F.col("__salt") == F.col("__r_salt")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
@@ -69,9 +70,12 @@ def skew_semi_join(big: DataFrame, counted: DataFrame, keys: list[str], n: str,
     return big.join(hot, keys, "left_semi").unionByName(big.join(hot, keys, "left_anti").join(cold, keys, "left_semi"))
 
 
-def sized_join(big: DataFrame, written: DataFrame, keys: list[str], spread: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Broadcast `written` (a materialized table, or one of `rows` rows at most) if its counted rows prove it small, else the salted join."""
-    if (written.count() if rows is None else rows) <= BROADCAST_ROWS:
+def sized_join(big: DataFrame, written: DataFrame, keys: list[str], spread: list[str], how: str = "inner", rows: int | None = None, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Broadcast `written` (a materialized table, or one of `rows` rows at most) if its counted rows prove it small, else the salted join.
+
+    row_bytes: what a row of `written` takes at most; it is small up to BROADCAST_BYTES in all.
+    """
+    if (written.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES:
         right = F.broadcast(written.withColumnsRenamed({k: f"__r_{k}" for k in keys}))
         cond = F.lit(True)
         for k in keys:
