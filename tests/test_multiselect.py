@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tidemill.operators import multiselect
+from tidemill.plans import problems
 
 
 def test_percentiles(spark):
@@ -36,3 +37,18 @@ def test_merged_sketch_error(spark):
     for r in multiselect.sketch_percentiles(multiselect.merge_sketches(sketches, ["k"]), ["k"], [0.5, 0.95, 0.99], 0.01).collect():
         exact = values[int(np.ceil(r["share"] * len(values))) - 1]
         assert abs(r["percentile"] - exact) <= 0.01 * exact
+
+
+def test_mergeable_over_all_rows(spark, tmp_path):
+    rng = random.Random(5)
+    day = lambda k: dt.datetime(1970, 1, 1 + k % 20, tzinfo=dt.timezone.utc)
+    data = [(e, day(k), rng.choice([0, None, -rng.randrange(1, 500), rng.randrange(1, 10**5)])) for e, n in (("a", 700), (None, 90), ("b", 3)) for k in range(n)]
+    data += [("zero", day(k), 0) for k in range(5)] + [("none", day(1), None)]
+    spark.createDataFrame(data, "endpoint_id string, timestamp timestamp, token_load bigint").write.parquet(str(tmp_path / "series_5min.parquet"))
+    got = {(r["endpoint_id"], r["share"]): r for r in problems.p5_mergeable(spark, str(tmp_path)).collect()}
+    assert len(got) == 12
+    for (e, s), r in got.items():
+        values = sorted(v for k, _, v in data if k == e and v is not None)
+        exact = values[int(np.ceil(s * len(values))) - 1]
+        assert (r["exact"], r["n"]) == (exact, len(values))
+        assert abs(r["percentile"] - exact) <= problems.ERROR * abs(exact) + 0.001 and r["error"] <= problems.ERROR

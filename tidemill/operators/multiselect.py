@@ -14,8 +14,8 @@ from tidemill.plans.physical import materialize, sized_join
 PROPOSAL = 200
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Percentiles with linear interpolation, exact: (keys..., share, percentile, n).
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: Sequence[float], at_rank: bool = False) -> DataFrame:
+    """Percentiles, exact: (keys..., share, percentile, n); with linear interpolation, or at_rank: the value at rank ceil(share * n).
 
     Multi-select over all groups and ranks at once. In each round every partition proposes the median of its own
     candidates per group and open range; the weighted median of the proposals becomes the pivot; candidates are counted
@@ -32,7 +32,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: Sequence[flo
     candidates = materialize(rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w")).withColumn("range", F.lit("")))
     sizes = materialize(candidates.groupBy(*keys).agg(F.sum("w").alias("n")))
     wanted = sizes.select(*keys, "n", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
-    at = F.col("share") * (F.col("n") - 1)
+    at = F.greatest(F.ceil(F.col("share") * F.col("n")) - 1, F.lit(0).cast("bigint")) if at_rank else F.col("share") * (F.col("n") - 1)
     ranks = wanted.select(*keys, "n", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank")).distinct()
     # An open rank: its place among the candidates of its range.
     state = materialize(ranks.select(*keys, "rank", F.lit("").alias("range"), F.col("rank").alias("place")))

@@ -129,11 +129,20 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_mergeable(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles from sketches per endpoint and day, merged over the days, beside the exact rank values and the error."""
-    series = table(spark, d, "series_5min").where(F.col("token_load") > 0)
+    """Percentiles from sketches per endpoint and day, merged over the days, beside the exact rank values and the error.
+
+    All windows count, those with zero or negative loads too. exact is the value at rank ceil(share * n), error the
+    relative error of the estimate (0 where both are 0), at most ERROR.
+    """
+    series, shares = table(spark, d, "series_5min").select("endpoint_id", "timestamp", "token_load"), [0.5, 0.95, 0.99]
     days = materialize(multiselect.daily_sketches(series, ["endpoint_id"], "timestamp", "token_load", ERROR))
-    estimates = multiselect.sketch_percentiles(multiselect.merge_sketches(days, ["endpoint_id"]), ["endpoint_id"], [0.5, 0.95, 0.99], ERROR)
-    return estimates.select("endpoint_id", "share", F.round("percentile", 3).alias("percentile"))
+    estimates = multiselect.sketch_percentiles(multiselect.merge_sketches(days, ["endpoint_id"]), ["endpoint_id"], shares, ERROR)
+    found = multiselect.percentiles(series, ["endpoint_id"], "token_load", shares, at_rank=True)
+    found = found.select(F.col("endpoint_id").alias("e"), F.col("share").alias("s"), F.col("percentile").alias("exact"), "n")
+    both = estimates.join(found, F.col("endpoint_id").eqNullSafe(F.col("e")) & (F.col("share") == F.col("s")))
+    off = F.abs(F.col("percentile") - F.col("exact"))
+    error = F.when(off == 0, F.lit(0.0)).otherwise(off / F.abs(F.col("exact")))
+    return both.select("endpoint_id", "share", F.round("percentile", 3).alias("percentile"), "exact", F.round(error, 6).alias("error"), "n")
 
 
 # -- 6: rows that fail to parse
