@@ -107,3 +107,33 @@ def test_empty(spark, case):
     docs, items = case
     d, i = frames(spark, docs, items)
     assert leakage.leaks(d.where("false"), i).count() == leakage.leaks(d, i.where("false")).count() == 0
+
+
+def test_near_windows_against_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    lexicon = [f"w{i}" for i in range(400)]
+    line = lambda n: [rng.choice(lexicon) for _ in range(n)]
+    common = line(9)
+    items = [(k, line(rng.randrange(3)) + (common if k % 3 == 0 else []) + line(14)) for k in range(30)] + [(30, ["a", "b", "c", "d", "e", "f"] * 4)]
+    docs = [(k, line(5) + changed + line(5)) for k in range(120) for changed in [list(rng.choice(items)[1])] if changed.__setitem__(rng.randrange(len(changed)), "other") is None]
+    grams = lambda w, n: {tuple(w[a : a + n]) for a in range(len(w) - n + 1)}
+    holders = {}
+    for k, w in items:
+        for g in grams(w, 5):
+            holders.setdefault(g, set()).add(k)
+    weight = lambda s: sum(1 / (1 + np.log(max(len(holders.get(g, ())), 1))) for g in s)
+    alike = lambda x, y: weight(x & y) / weight(x | y)
+    want = {}
+    for d, v in docs:
+        for i, w in items:
+            mine = [grams(w[b : b + 13], 5) for b in range(len(w) - 12)]
+            best = [max((alike(grams(v[a : a + 13], 5), m) for m in mine), default=0.0) for a in range(len(v) - 12)]
+            if max(best) >= 0.8 - 1e-9:
+                want[d, i] = sum(b >= 0.8 - 1e-9 for b in best), round(max(best), 6)
+    d, i = frames(spark, [(k, " ".join(w)) for k, w in docs], [(k, " ".join(w)) for k, w in items])
+    got = lambda: {(r["doc_id"], r["item_id"]): (r["near_windows"], round(r["best_similarity"], 6)) for r in leakage.leaks(d, i).collect()}
+    assert got() == want and len(want) > 50
+    blocks = list(leakage.item_blocks(i, "item_id", "text", 150))
+    assert len(blocks) > 2
+    monkeypatch.setattr(leakage, "item_blocks", lambda items, a, b: iter(blocks))
+    assert got() == want

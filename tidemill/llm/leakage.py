@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,10 @@ BLOCK_WORDS = 2_000_000
 #: Windows whose fingerprints are computed at once, and candidate pairs compared at once.
 CHUNK = 32_768
 PAIRS = 65_536
+#: What sums of weights may be off by.
+SLACK = 1e-9
+#: Shingles in order, and the weight of each.
+Weights = tuple[np.ndarray, np.ndarray]
 
 
 def word_hashes(text: Column) -> Column:
@@ -36,6 +41,34 @@ def _starts(owner: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(owner[:n] == owner[length - 1 :]) if n > 0 else np.empty(0, np.int64)
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, member) for all members of the ranges low..high - 1."""
+    n = high - low
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n - low, n)
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """False where a value stands further left in its row already."""
+    return ~np.tril(rows[:, :, None] == rows[:, None, :], -1).any(axis=2)
+
+
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """64-bit hash of the SHINGLE words from every position on, in their order."""
+    n = max(len(words) - SHINGLE + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n].view(np.uint64)
+    return out.view(np.int64)
+
+
+def weigh(shingles: np.ndarray, weights: Weights | None) -> np.ndarray:
+    if weights is None or not len(weights[0]):
+        return np.ones(len(shingles))
+    k = np.minimum(np.searchsorted(weights[0], shingles), len(weights[0]) - 1)
+    return np.where(weights[0][k] == shingles, weights[1][k], 1.0)
+
+
 def simhash(words: np.ndarray, length: int) -> np.ndarray:
     """SimHash of every `length` successive words: each bit by the majority of the words' bits, ties up.
 
@@ -67,7 +100,7 @@ class ItemIndex:
     ids: item number of every text; words, owner: all words one after another and the text each belongs to.
     """
 
-    def __init__(self, ids: np.ndarray, words: np.ndarray, owner: np.ndarray, weights: dict[int, float] | None, length: int, radius: int):
+    def __init__(self, ids: np.ndarray, words: np.ndarray, owner: np.ndarray, weights: Weights | None, length: int, radius: int):
         self.ids, self.words, self.owner, self.length, self.radius = ids, words, owner, length, radius
         self.at = _starts(owner, length)
         self.prints = simhash(words, length)[self.at]
@@ -78,7 +111,11 @@ class ItemIndex:
             seen = np.zeros(1 << width, bool)
             seen[block & ((1 << width) - 1)] = True
             self.tables.append((block[order], order, seen, (1 << width) - 1))
-        self.weights = weights or {}
+        self.shingles = shingle_hashes(words)
+        self.weight = weigh(self.shingles, weights)
+        places = _starts(owner, SHINGLE)
+        self.places = places[np.argsort(self.shingles[places], kind="stable")]
+        self.keys = self.shingles[self.places]
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window of the argument, window of the index, distance) for every pair within the radius, each once."""
@@ -95,17 +132,45 @@ class ItemIndex:
         left, right = both >> 32, both & 0xFFFFFFFF
         return left, right, np.bitwise_count(prints[left] ^ self.prints[right])
 
-    def similarity(self, words: np.ndarray, at: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def shared(self, shingles: np.ndarray, weight: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window of the argument, window of the index) for at least every pair of that weighted similarity.
+
+        The shared shingles of such a pair weigh `similarity` of the window's own at least, so it shares one of any of
+        them that weigh more than the rest: of those, the ones found least often in the items are looked up.
+        """
+        low, high = np.searchsorted(self.keys, shingles, "left"), np.searchsorted(self.keys, shingles, "right")
+        reach = self.length - SHINGLE + 1
+        held = np.concatenate([[0], np.cumsum(high > low)])
+        some = np.flatnonzero(held[at + reach] > held[at]) if len(at) else at
+        for a in range(0, len(some), CHUNK):
+            rows = at[some[a : a + CHUNK]][:, None] + np.arange(reach)
+            own = weight[rows] * _distinct(shingles[rows])
+            order = np.argsort((high - low)[rows], axis=1, kind="stable")
+            rows, own = np.take_along_axis(rows, order, axis=1), np.take_along_axis(own, order, axis=1)
+            before = np.cumsum(own, axis=1) - own
+            r, c = np.nonzero((own > 0) & (before <= (1 - similarity) * own.sum(axis=1, keepdims=True) + SLACK) & (high > low)[rows])
+            left, p = some[a : a + CHUNK][r], rows[r, c]
+            met = np.cumsum(high[p] - low[p])
+            cut = 0
+            while cut < len(p):
+                end = max(int(np.searchsorted(met, (met[cut - 1] if cut else 0) + PAIRS, "right")), cut + 1)
+                which, k = _ranges(low[p[cut:end]], high[p[cut:end]])
+                places = self.places[k]
+                near, j = _ranges(np.searchsorted(self.at, places - reach + 1, "left"), np.searchsorted(self.at, places, "right"))
+                both = np.unique((left[cut:end][which[near]] << 32) | j)
+                yield both >> 32, both & 0xFFFFFFFF
+                cut = end
+
+    def similarity(self, words: np.ndarray, shingles: np.ndarray, weight: np.ndarray, at: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weighted Jaccard similarity of the windows' shingles, whether the windows are the same word for word)."""
         reach = np.arange(self.length)
-        a, b = words[at[:, None] + reach], self.words[self.at[mine][:, None] + reach]
-        same = (a == b).all(axis=1)
-        score = same.astype(np.float64)
-        for i in np.flatnonzero(~same):
-            x, y = ({hash(tuple(w[k : k + SHINGLE].tolist())) for k in range(self.length - SHINGLE + 1)} for w in (a[i], b[i]))
-            weigh = lambda s: sum(self.weights.get(k, 1.0) for k in s)
-            score[i] = weigh(x & y) / weigh(x | y)
-        return score, same
+        same = (words[at[:, None] + reach] == self.words[self.at[mine][:, None] + reach]).all(axis=1)
+        reach = np.arange(self.length - SHINGLE + 1)
+        a, b = at[:, None] + reach, self.at[mine][:, None] + reach
+        x, y = shingles[a], self.shingles[b]
+        u, v = weight[a] * _distinct(x), self.weight[b] * _distinct(y)
+        both = (u * (x[:, :, None] == y[:, None, :]).any(axis=2)).sum(axis=1)
+        return np.where(same, 1.0, both / (u.sum(axis=1) + v.sum(axis=1) - both)), same
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +182,24 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), np.where(valid, sizes, 0))
 
 
-def _weights(items: pa.Table) -> dict[int, float]:
-    """Shingle weights 1 / (1 + ln(number of items that hold it)): what many items share says less."""
-    words, owner = _flat(items.column(1))
-    at = _starts(owner, SHINGLE)
-    holders: dict[int, set[int]] = {}
-    for s in at:
-        holders.setdefault(hash(tuple(words[s : s + SHINGLE].tolist())), set()).add(int(owner[s]))
-    return {k: 1.0 / (1.0 + float(np.log(len(v)))) for k, v in holders.items() if len(v) > 1}
+def shingle_weights(items: DataFrame, item_id: str, text: str) -> Weights:
+    """Shingle weights 1 / (1 + ln(number of items that hold it)): what many items share says less.
+
+    Counted once over all items, whatever their blocks. Only shingles of more than one item are gathered, all others weigh 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, owner = _flat(batch.column(1))
+            at = _starts(owner, SHINGLE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), pa.array(shingle_hashes(words)[at])], ["item_id", "shingle"])
+
+    kind = dict(items.dtypes)[item_id]
+    cut = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("words"))
+    held = cut.mapInArrow(run, f"item_id {kind}, shingle bigint").groupBy("shingle").agg(F.count_distinct("item_id").alias("n")).where(F.col("n") > 1).toArrow()
+    keys, n = (held.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(keys)
+    return keys[order], 1.0 / (1.0 + np.log(n[order]))
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[pa.Table]:
@@ -146,13 +221,15 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BL
         yield cut.where(part == k).select("item_id", "words").toArrow()
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", length: int = WINDOW, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", length: int = WINDOW, radius: int = RADIUS, similarity: float = SIMILARITY, near: bool = True) -> DataFrame:
     """(doc_id, item_id, exact_windows, near_windows, best_similarity): documents with windows of an item.
 
     SimHash fingerprints are taken of every `length` successive words of items and documents. A multi-index over
     radius + 1 blocks of bits finds every pair of windows within the Hamming radius: equal windows always, others as far
-    as their fingerprints agree. Each candidate is then compared itself: word for word, and by weighted five-word
-    shingles; pairs of at least `similarity` stay. The items, in blocks of bounded size, meet the documents where they lie:
+    as their fingerprints agree, which of windows with one changed word few do. With `near`, a join over shared five-word
+    shingles therefore adds every pair of at least `similarity`; without, near_windows and best_similarity rest on the
+    fingerprints alone. Each candidate is then compared itself: word for word, and by weighted shingles, the weights counted
+    over all items; pairs of at least `similarity` stay. The items, in blocks of bounded size, meet the documents where they lie:
     whole texts are read once per block and only the pairs found are shuffled. exact_windows counts the document's windows
     that are word for word one of the item's, near_windows all that stay. A text of fewer than `length` words has no
     window; null ids and null texts have none; rows with one id count as one document or item.
@@ -162,10 +239,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     spark = documents.sparkSession
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, exact bigint, near bigint, best double"
     out: DataFrame | None = None
+    weights = shingle_weights(items, item_id, text)
     for block in item_blocks(items, item_id, text):
         words, owner = _flat(block.column(1))
         ids = block.column(0).combine_chunks()
-        sent = spark.sparkContext.broadcast((ids, words, owner, _weights(block)))
+        sent = spark.sparkContext.broadcast((ids, words, owner, weights))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, words, owner, weights = sent.value
@@ -173,14 +251,22 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
             for batch in batches:
                 own, of = _flat(batch.column(1))
                 at = _starts(of, length)
+                shingles = shingle_hashes(own)
+                weight = weigh(shingles, weights)
                 left, right, _ = index.candidates(simhash(own, length)[at])
-                parts = [index.similarity(own, at[left[a : a + PAIRS]], right[a : a + PAIRS]) for a in range(0, len(left), PAIRS)]
-                score, same = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0, bool))
-                keep = score >= similarity
-                rows, texts = of[at[left[keep]]], owner[index.at[right[keep]]]
+                pairs = ((left[a : a + PAIRS], right[a : a + PAIRS]) for a in range(0, len(left), PAIRS))
+                found = []
+                for x, y in chain(pairs, index.shared(shingles, weight, at, similarity) if near else ()):
+                    for a in range(0, len(x), PAIRS):
+                        i, j = x[a : a + PAIRS], y[a : a + PAIRS]
+                        score, same = index.similarity(own, shingles, weight, at[i], j)
+                        keep = score >= similarity - SLACK
+                        found.append((i[keep], j[keep], score[keep], same[keep]))
+                left, right, score, same = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
+                rows, texts = of[at[left]], owner[index.at[right]]
                 # Several windows of an item may meet one window of the document: it counts once.
                 best: dict[tuple[int, int], dict[int, tuple[bool, float]]] = {}
-                for r, t, w, s, v in zip(rows.tolist(), texts.tolist(), left[keep].tolist(), same[keep].tolist(), score[keep].tolist(), strict=True):
+                for r, t, w, s, v in zip(rows.tolist(), texts.tolist(), left.tolist(), same.tolist(), score.tolist(), strict=True):
                     held = best.setdefault((r, t), {})
                     old = held.get(w, (False, 0.0))
                     held[w] = (old[0] or s, max(old[1], v))

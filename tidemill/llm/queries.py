@@ -26,7 +26,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked(leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")))
+    return leakage.leaked(leakage.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"), near=False))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
