@@ -59,3 +59,20 @@ def test_flooding_prefers_value_evidence():
     scores = drift.flood([field("model"), field("lane")], [field("modes"), field("xyz")], {("model", "xyz"): 1.0, ("lane", "modes"): 1.0, ("model", "modes"): 0.0, ("lane", "xyz"): 0.0})
     assert drift.consistent(scores) == {"model": "xyz", "lane": "modes"}
     assert drift._children("OBJECT<name: STRING, tier: OBJECT<a: BIGINT, b: STRING>, z: ARRAY<STRING>>") == ["name", "tier", "z"]
+
+
+def test_unified_keeps_all_of_objects_and_arrays(spark):
+    files = {
+        1: recs(0, 4, lambda i: {"model": {"tier": "base", "name": f"m{i}"}, "request_tokens": {"unit": "t", "value": i}, "log_type": ["API", "b", "c"]}),
+        2: recs(4, 4, lambda i: {"model": {"name": f"m{i}", "tier": {"a": 1}}, "request_tokens": i, "log_type": ["API"]}),
+        3: recs(8, 1, lambda i: {"model": {"name": None, "tier": "base"}}) + recs(9, 3, lambda i: {"model": {"name": f"m{i}"}, "log_type": "{x"}),
+    }
+    out = {int(r["rid"]): r for r in drift.unify(frame(spark, files)).collect()}
+    assert [out[i]["model"] for i in range(12)] == [f"m{i}" if i != 8 else None for i in range(12)]
+    assert out[2]["request_tokens"] == 2.0 and out[6]["request_tokens"] == 6.0 and not any(r["failed_casts"] for r in out.values())
+    assert (out[2]["log_type"], out[5]["log_type"], out[9]["log_type"]) == ("API", "API", "{x")
+    rest = {i: {k: json.loads(v) for k, v in json.loads(out[i]["extras"]).items()} for i in out}
+    assert rest[1] == {"model": {"tier": "base"}, "request_tokens": {"unit": "t"}, "log_type": ["b", "c"]}
+    assert json.loads(rest[5]["model"]["tier"]) == {"a": 1} and set(rest[5]) == {"model"}
+    assert rest[8] == {"model": {"tier": "base"}} and rest[9] == {}
+    assert [m["field"] for m in drift._members("OBJECT<`a: b,c`: DECIMAL(3,1), z: ARRAY<OBJECT<q: STRING>>>")] == ["a: b,c", "z"]

@@ -71,10 +71,16 @@ def cells(records: DataFrame) -> DataFrame:
 
 
 def file_schemas(cell_rows: DataFrame) -> DataFrame:
-    """(feed_id, file_no, field, type, shape, n): a field's type is that of most of its values, of equally many the later in the alphabet."""
-    kinds = cell_rows.groupBy("feed_id", "file_no", "field", "type").agg(F.count(F.lit(1)).alias("n"), F.max("shape").alias("shape"))
+    """(feed_id, file_no, field, type, shape, n, objects): a field's type is that of most of its values, of equally many the later in the alphabet.
+
+    objects: the shapes of all its values that are objects.
+    """
+    kinds = cell_rows.groupBy("feed_id", "file_no", "field", "type").agg(
+        F.count(F.lit(1)).alias("n"), F.max("shape").alias("shape"), F.collect_set(F.when(F.col("type") == "object", F.col("shape"))).alias("objects")
+    )
     best = F.max(F.struct("n", "type", "shape")).alias("x")
-    return kinds.groupBy("feed_id", "file_no", "field").agg(best).select("feed_id", "file_no", "field", "x.type", "x.shape", "x.n")
+    held = kinds.groupBy("feed_id", "file_no", "field").agg(best, F.flatten(F.collect_list("objects")).alias("objects"))
+    return held.select("feed_id", "file_no", "field", "x.type", "x.shape", "x.n", "objects")
 
 
 def _words(name: str) -> list[str]:
@@ -101,6 +107,37 @@ def _children(shape: str) -> list[str]:
     return out
 
 
+def _members(shape: str) -> list[dict]:
+    """The members of the variant schema text of an object, as fields of a schema."""
+    inner, depth, quoted, parts, word = shape.partition("<")[2][:-1], 0, False, [], ""
+    for ch in [*inner, ","]:
+        quoted ^= ch == "`"
+        depth += 0 if quoted else (ch in "<(") - (ch in ">)")
+        if ch == "," and not quoted and depth == 0:
+            parts.append(word)
+            word = ""
+        else:
+            word += ch
+    out = []
+    for part in parts:
+        name, _, kind = part.strip()[1:].partition("`: ") if part.strip().startswith("`") else part.strip().partition(": ")
+        plain = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}.get(kind, "object" if kind.startswith("OBJECT") else "array" if kind.startswith("ARRAY") else "number")
+        if name:
+            out.append({"field": name, "type": plain, "shape": kind})
+    return out
+
+
+def member_of(shapes: list[str], column: str, goal: list[dict]) -> str | None:
+    """The member of a field's objects that stands for `column`: of its type before others, then the best flooded, ties by name."""
+    fields = {m["field"]: m for s in sorted(shapes) for m in _members(s) if m["type"] != "null"}
+    if not fields:
+        return None
+    kind = next(g["type"] for g in goal if g["field"] == column)
+    alike = {(f, g["field"]): _alike(f.lower().replace("_", ""), g["field"].replace("_", "")) for f in fields for g in goal}
+    scores = flood(list(fields.values()), goal, alike)
+    return min(fields, key=lambda f: (fields[f]["type"] != kind, fields[f]["type"] in ("object", "array"), -scores[f, column] * alike[f, column], f))
+
+
 def flood(old: list[dict], new: list[dict], evidence: dict[tuple[str, str], float], epsilon: float = EPSILON, rounds: int = ROUNDS) -> dict[tuple[str, str], float]:
     """Similarity flooding between two schemas; scores of all field pairs, the best being 1.
 
@@ -258,7 +295,7 @@ def changes(records: DataFrame) -> DataFrame:
 
 
 def lineage(schemas: DataFrame, renames: DataFrame) -> DataFrame:
-    """(feed_id, file_no, field, type, shape, origin): origin identifies one field of a feed through all its renames.
+    """(feed_id, file_no, field, type, shape, objects, origin): origin identifies one field of a feed through all its renames.
 
     A field's unbroken stay under one name is a segment; a rename links a segment to the one before it. The first segment
     of every chain is found by pointer doubling, so the rounds grow with the logarithm of the longest chain of renames.
@@ -280,11 +317,13 @@ def lineage(schemas: DataFrame, renames: DataFrame) -> DataFrame:
             break
     ends = links.withColumnsRenamed({"feed_id": "lf", "field": "l", "start": "ls"})
     rooted = segments.join(ends, F.col("feed_id").eqNullSafe(F.col("lf")) & (F.col("field") == F.col("l")) & (F.col("start") == F.col("ls")), "left")
-    return rooted.select("feed_id", "file_no", "field", "type", "shape", F.struct(F.coalesce("up", "field").alias("field"), F.coalesce("p_start", "start").alias("start")).alias("origin"))
+    return rooted.select("feed_id", "file_no", "field", "type", "shape", "objects", F.struct(F.coalesce("up", "field").alias("field"), F.coalesce("p_start", "start").alias("start")).alias("origin"))
 
 
 def to_target(lines: DataFrame, target: dict[str, str] | None = None, accept: float = ACCEPT) -> DataFrame:
-    """(feed_id, file_no, field, column): the target column of every field of every file, null where it has none.
+    """(feed_id, file_no, field, column, member): the target column of every field of every file, null where it has none.
+
+    member is the one that stands for the column where the field's values are objects; see member_of.
 
     The names an origin ever bore stand for it; each file's schema is flooded against the target table, origin names included.
     """
@@ -295,10 +334,11 @@ def to_target(lines: DataFrame, target: dict[str, str] | None = None, accept: fl
     files = (
         lines.join(names, F.col("feed_id").eqNullSafe(F.col("nf")) & (F.col("origin") == F.col("no")))
         .groupBy("feed_id", "file_no")
-        .agg(F.collect_list(F.struct("field", "type", "shape", "names")).alias("fields"))
+        .agg(F.collect_list(F.struct("field", "type", "shape", "objects", "names")).alias("fields"))
     )
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        members: dict[tuple, str | None] = {}
         for pdf in batches:
             out = []
             for feed, no, fields in pdf.itertuples(index=False):
@@ -307,20 +347,26 @@ def to_target(lines: DataFrame, target: dict[str, str] | None = None, accept: fl
                 # A name that is a column's own settles the matter; else the flooded score weighs the likeness.
                 ranked = {k: (2.0 if seen[k] == 1.0 else v * seen[k]) for k, v in scores.items()}
                 chosen = consistent(ranked, accept)
-                out += [(feed, no, f["field"], chosen.get(f["field"])) for f in fields]
-            yield pd.DataFrame(out, columns=["feed_id", "file_no", "field", "column"])
+                for f in fields:
+                    column = chosen.get(f["field"])
+                    shapes = tuple(sorted(f["objects"])) if column else ()
+                    if shapes and (shapes, column) not in members:
+                        members[shapes, column] = member_of(list(shapes), column, goal)
+                    out.append((feed, no, f["field"], column, members.get((shapes, column))))
+            yield pd.DataFrame(out, columns=["feed_id", "file_no", "field", "column", "member"])
 
     kind = dict(lines.dtypes)
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(tasks).mapInPandas(matched, f"feed_id {kind['feed_id']}, file_no {kind['file_no']}, field string, column string")
+    return files.repartition(tasks).mapInPandas(matched, f"feed_id {kind['feed_id']}, file_no {kind['file_no']}, field string, column string, member string")
 
 
 def unify(records: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
     """All records in one table: feed_id, file_no, record_no, rid, the target's columns, extras, failed_casts, resent.
 
     Each payload is read once as a map; its file's field mapping comes by a join that is broadcast or salted (one file may
-    hold a large part of all records) and the columns are picked from the map: no record is exploded. Objects and arrays give their first
-    value, texts and numbers are cast to the column's type; a value that cannot be cast is null and named in
+    hold a large part of all records) and the columns are picked from the map: no record is exploded. An object gives the
+    member that name and type choose in its file, an array its first value; all that is left of it stays in extras under
+    the field's name, as JSON. Texts and numbers are cast to the column's type; a value that cannot be cast is null and named in
     failed_casts. Fields without a target column stay in extras, under their own name. resent marks records whose rid
     the file before already held. A payload that is no JSON object gives a row with nulls.
     """
@@ -328,19 +374,28 @@ def unify(records: DataFrame, target: dict[str, str] | None = None) -> DataFrame
     found = successive(records)
     mapping = to_target(lineage(found["schemas"], found["renames"]), target)
     mapping = materialize(
-        mapping.where(F.col("column").isNotNull()).groupBy("feed_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "column"))).alias("mapping"))
+        mapping.where(F.col("column").isNotNull()).groupBy("feed_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("column", "member")))).alias("mapping"))
     )
     fields = F.transform(F.map_entries(F.from_json("payload", "map<string,string>")), lambda e: F.struct(field_name(e["key"]).alias("field"), e["value"].alias("value")))
     rows = records.select("feed_id", "file_no", "record_no", fields.alias("fields"))
     joined = sized_join(rows, mapping, ["feed_id", "file_no"], ["record_no"], "left", row_bytes=2000)
-    joined = joined.withColumn("mapping", F.coalesce("mapping", F.create_map().cast("map<string,string>")))
-    first = lambda x: F.when(x.startswith("{"), F.get(F.map_values(F.from_json(x, "map<string,string>")), F.lit(0))).when(x.startswith("["), F.get(F.from_json(x, "array<string>"), F.lit(0))).otherwise(x)
-    placed = joined.withColumn("placed", F.transform("fields", lambda e: F.struct(F.col("mapping")[e["field"]].alias("column"), e["field"].alias("field"), e["value"].alias("value"))))
-    one = lambda keep: F.get(F.filter("placed", keep), F.lit(0))["value"]
-    held = lambda c: first(one(lambda e: (e["column"] == c) & e["value"].isNotNull()))
+    joined = joined.withColumn("mapping", F.coalesce("mapping", F.create_map().cast("map<string,struct<column:string,member:string>>")))
+    taken = lambda e: F.col("mapping")[e["field"]]
+    nested = lambda e, start, kind: F.when(taken(e)["column"].isNotNull() & e["value"].startswith(start), F.from_json(e["value"], kind))
+    opened = lambda e: F.struct(
+        taken(e)["column"].alias("column"), F.coalesce(taken(e)["member"], F.lit("")).alias("member"), e["field"].alias("field"), e["value"].alias("value"),
+        nested(e, "{", "map<string,string>").alias("object"), nested(e, "[", "array<string>").alias("array"),
+    )
+    left = lambda e: F.map_filter(e["object"], lambda k, _: k != e["member"])
+    kept = lambda e: F.when(e["object"].isNotNull(), e["object"][e["member"]]).when(e["array"].isNotNull(), F.get(e["array"], F.lit(0))).otherwise(e["value"])
+    rest = lambda e: F.when(F.size(left(e)) > 0, F.to_json(left(e))).when(F.size(e["array"]) > 1, F.to_json(F.slice(e["array"], 2, F.size(e["array"]))))
+    placed = joined.withColumn("placed", F.transform(F.transform("fields", opened), lambda e: F.struct(e["column"].alias("column"), e["field"].alias("field"), e["value"].alias("value"), kept(e).alias("kept"), rest(e).alias("rest"))))
+    one = lambda keep: F.get(F.filter("placed", keep), F.lit(0))
+    held = lambda c: one(lambda e: (e["column"] == c) & e["value"].isNotNull())["kept"]
+    others = F.filter("placed", lambda e: (e["column"].isNull() & (e["field"] != "rid")) | e["rest"].isNotNull())
     raw = placed.withColumns(
         {f"__{c}": held(c) for c in target}
-        | {"rid": one(lambda e: e["field"] == "rid"), "others": F.filter("placed", lambda e: e["column"].isNull() & (e["field"] != "rid"))}
+        | {"rid": one(lambda e: e["field"] == "rid")["value"], "others": F.transform(others, lambda e: F.struct(e["field"].alias("field"), F.coalesce(e["rest"], e["value"]).alias("value")))}
     )
     cast = {c: F.col(f"__{c}").try_cast("double") if kind == "number" else F.col(f"__{c}") for c, kind in target.items()}
     failed = F.array_compact(F.array(*[F.when(F.col(f"__{c}").isNotNull() & v.isNull(), F.lit(c)) for c, v in cast.items()]))
