@@ -7,6 +7,7 @@ import statistics
 import pytest
 
 from tidemill.operators import spikes
+from tidemill.plans import problems
 
 
 def test_medians(spark):
@@ -69,3 +70,18 @@ def test_context(spark):
 def test_empty(spark, rows):
     df = spark.createDataFrame([], "s string, t timestamp, id bigint, v bigint")
     assert rows(spikes.stuck_rows(df, "s", "t", "id", ["v"])) == rows(spikes.contextual_flags(df, "s", "t", "id", "v")) == rows(spikes.source_medians(df, ["s"], "v", ["id"])) == []
+
+
+def test_jumps_in_both_directions_and_beside_zero(spark):
+    ts = lambda k: dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(hours=k)
+    values = [100, 5001, 100, 1, 51, 0, 50, 0, 51, -51, -1, 0, -60, 49, 1]
+    df = spark.createDataFrame([("a", ts(k), k, v) for k, v in enumerate(values)], "s string, t timestamp, id bigint, v bigint")
+    got = {r["row_id"] for r in spikes.contextual_flags(df, "s", "t", "id", "v").collect() if r["jumped"]}
+    assert got == {1, 2, 3, 4, 5, 8, 9, 10, 12, 13}
+
+
+def test_context_of_all_fields(spark):
+    from tests.oracle import DATA
+
+    got = {(r["tbl"], r["field"]) for r in problems.p4_context(spark, str(DATA)).select("tbl", "field").distinct().collect()}
+    assert got == {("requests", "total_tokens"), ("requests", "response_tokens"), ("series_5min", "token_load")}

@@ -102,12 +102,20 @@ def stuck_rows(df: DataFrame, source: str, ts: str, row_id: str, fields: list[st
     return some.join(chains, same, "left").where((F.col("n") >= least) | F.col("c_run").isNotNull()).select("source", "row_id", "field")
 
 
+def jumps(before: Column, value: Column, jump: float) -> Column:
+    """Whether the change between two readings is implausible, the same in both directions; see contextual_flags."""
+    a, b = F.abs(before), F.abs(value)
+    across = F.signum(before) * F.signum(value) < 0
+    return F.when(across, a + b > jump).otherwise(F.greatest(a, b) > jump * F.greatest(F.least(a, b), F.lit(1.0)))
+
+
 def contextual_flags(df: DataFrame, source: str, ts: str, row_id: str, value: str, fence: float = 3.0, jump: float = 50.0, error: float = SKETCH_ERROR) -> DataFrame:
     """Readings outside their source's habits: (source, row_id, hour, value, q1, q3, outside, jumped).
 
     Quartiles come from quantile sketches by source and hour of the day, merged over all partitions; `outside` is true
-    beyond q1 - fence * (q3 - q1) or q3 + fence * (q3 - q1), `jumped` where the reading is more than `jump` times the
-    source's reading before it (by ts, row_id; both above zero). Sources are cut into days for the order, the last
+    beyond q1 - fence * (q3 - q1) or q3 + fence * (q3 - q1), `jumped` where one of the reading and the source's reading
+    before it (by ts, row_id) is more than `jump` times the other, upward or downward: sizes below 1 count as 1, so beside
+    zero the other must be beyond `jump`, and where the sign changes the sizes are added. A first reading never jumps. Sources are cut into days for the order, the last
     reading of a day is carried to the next. Only flagged rows are returned; null values are never flagged.
     """
     rows = df.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(
@@ -128,7 +136,7 @@ def contextual_flags(df: DataFrame, source: str, ts: str, row_id: str, value: st
     flagged = sized_join(linked.select("source", "row_id", "hour", "value", "before"), fences, ["source", "hour"], ["row_id"]).withColumns(
         {
             "outside": (F.col("value") > F.col("q3") + fence * spread) | (F.col("value") < F.col("q1") - fence * spread),
-            "jumped": F.coalesce((F.col("before") > 0) & (F.col("value") > F.col("before") * jump), F.lit(False)),
+            "jumped": F.coalesce(jumps(F.col("before").cast("double"), F.col("value").cast("double"), jump), F.lit(False)),
         }
     )
     return flagged.where(F.col("outside") | F.col("jumped")).select("source", "row_id", "hour", "value", "q1", "q3", "outside", "jumped")

@@ -105,8 +105,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_context(spark: SparkSession, d: str) -> DataFrame:
-    flags = spikes.contextual_flags(table(spark, d, "requests"), "endpoint_id", "timestamp", "request_id", "total_tokens")
-    return flags.withColumnsRenamed({"source": "endpoint_id", "row_id": "request_id", "value": "total_tokens"})
+    """Contextual flags of the three fields of p4_found: (tbl, field, endpoint_id, row_id, hour, value, q1, q3, outside, jumped)."""
+    requests, series = table(spark, d, "requests"), table(spark, d, "series_5min")
+    out = None
+    for tbl, rows, row_id, field in (("requests", requests, "request_id", "total_tokens"), ("requests", requests, "request_id", "response_tokens"), ("series_5min", series, "window_id", "token_load")):
+        flags = spikes.contextual_flags(rows, "endpoint_id", "timestamp", row_id, field).withColumns({"value": F.col("value").cast("bigint"), "tbl": F.lit(tbl), "field": F.lit(field)})
+        part = flags.select("tbl", "field", F.col("source").alias("endpoint_id"), "row_id", "hour", "value", "q1", "q3", "outside", "jumped")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # -- 5: percentiles
