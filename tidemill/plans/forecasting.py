@@ -432,8 +432,8 @@ def e10_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e10_bootstrap_precision(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals of average precision for the 15-minute horizon."""
-    return round_doubles(bootstrap.bootstrap_precision(tested(spark, d).where(F.col("horizon") == 15), ["model", "horizon"], 50, 42))
+    """Intervals of average precision for every horizon, by the replicates of e10_block_bootstrap."""
+    return round_doubles(bootstrap.bootstrap_precision(tested(spark, d), ["model", "horizon"], _REPLICATES, 42))
 
 
 @query(_EVAL + """ SELECT e.split, e.model, e.horizon, round(e.mae, 4) AS mae, round(b.mae - e.mae, 4) AS improvement, round(100 * (b.mae - e.mae) / nullif(b.mae, 0), 4) AS improvement_percent, e.mae < b.mae AS better FROM ev e LEFT JOIN ev b ON b.split = e.split AND b.horizon = e.horizon AND b.model = 'seasonal_naive'""")
@@ -602,9 +602,20 @@ def d15_acf(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(eda.acf(series_of(spark, d), KEY, _ACF_LAGS))
 
 
+def _log_load(spark: SparkSession, d: str) -> DataFrame:
+    return series_of(spark, d).withColumn("token_load", F.log1p(F.greatest(F.col("token_load"), F.lit(0)).cast("double")))
+
+
+@query()
+def d15_acf_288(spark: SparkSession, d: str) -> DataFrame:
+    """The autocorrelation of log(1 + load) over a whole day of lags; d15_acf has the first four hours of the load itself."""
+    return round_doubles(eda.acf(_log_load(spark, d), KEY))
+
+
 @query()
 def d16_pacf(spark: SparkSession, d: str) -> DataFrame:
-    return round_doubles(eda.pacf(series_of(spark, d), KEY, _ACF_LAGS))
+    """Of log(1 + load), over a whole day of lags."""
+    return round_doubles(eda.pacf(_log_load(spark, d), KEY, eda.DAY_ROWS))
 
 
 @query(_SERIES + " SELECT endpoint_id, (bin * 300) // 86400 AS day_no, sum(request_count)::BIGINT AS requests, round(sum(gpt4_request_count) / nullif(sum(request_count), 0)::DOUBLE, 6) AS gpt4_share, round(sum(api_request_count) / nullif(sum(request_count), 0)::DOUBLE, 6) AS api_share FROM series GROUP BY ALL")
