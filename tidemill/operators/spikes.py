@@ -12,12 +12,22 @@ from tidemill.plans.windows import with_previous
 
 #: Relative width of a sketch bucket; a quantile read from the sketch is off by at most this share.
 SKETCH_ERROR = 0.02
+#: Magnitudes below this share one bucket on either side of zero.
+LEAST = 1e-300
 DAY_SECONDS = 86_400
 
 
+def _shift(error: float) -> int:
+    """What is added to the exponent of a magnitude, so that that of LEAST becomes 1."""
+    return 1 - math.floor(math.log(LEAST) / math.log1p(error))
+
+
 def bucket_of(value: Column, error: float = SKETCH_ERROR) -> Column:
-    """Signed logarithmic bucket of a number: 0 for zero, else sign * (1 + floor(log(|v|) / log(1 + error))), magnitudes below 1 in bucket 1."""
-    size = F.floor(F.log(F.greatest(F.abs(value).cast("double"), F.lit(1.0))) / F.lit(math.log1p(error))).cast("bigint") + 1
+    """Signed logarithmic bucket of a number, rising with it: 0 for zero, else by the exponent of |v| to the base 1 + error.
+
+    The exponent is shifted so that it is positive from LEAST on; smaller magnitudes count as LEAST.
+    """
+    size = F.floor(F.log(F.greatest(F.abs(value).cast("double"), F.lit(LEAST))) / F.lit(math.log1p(error))).cast("bigint") + _shift(error)
     return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, size).otherwise(-size)
 
 
@@ -30,13 +40,14 @@ def quantile_sketch(df: DataFrame, keys: list[str], value: str, error: float = S
 
 
 def sketch_rank(sketch: DataFrame, keys: list[str], share: float, name: str, error: float = SKETCH_ERROR) -> DataFrame:
-    """The quantile at `share` of every key, from a sketch, as the middle of its bucket."""
+    """The value at rank ceil(share * n), at least the first, of every key, from a sketch, as the middle of its bucket."""
     by = Window.partitionBy(*keys).orderBy("bucket")
     total = F.sum("n").over(Window.partitionBy(*keys))
     seen = F.sum("n").over(by)
-    at = F.abs(F.col("bucket")).cast("double") - 0.5
+    at = F.abs(F.col("bucket")).cast("double") - _shift(error) + 0.5
     middle = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.signum(F.col("bucket").cast("double")) * F.exp(at * F.lit(math.log1p(error))))
-    ranked = sketch.withColumns({"__seen": seen, "__total": total}).where((F.col("__seen") >= F.col("__total") * share) & (F.col("__seen") - F.col("n") < F.col("__total") * share))
+    rank = F.greatest(F.ceil(F.col("__total") * F.lit(share)), F.lit(1))
+    ranked = sketch.withColumns({"__seen": seen, "__total": total}).where((F.col("__seen") >= rank) & (F.col("__seen") - F.col("n") < rank))
     return ranked.select(*keys, middle.alias(name))
 
 
