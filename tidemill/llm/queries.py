@@ -5,13 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import leakage, packing, spans
+from tidemill.llm import leakage, packing, percentiles, spans
+from tidemill.plans.physical import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ERROR = 0.01
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    train = _table(spark, d, "series_5min").where(F.col("split") == "train").select("endpoint_id", "token_load")
+    found = percentiles.percentiles(train, ["endpoint_id"], "token_load", [0.94, 0.96])
+    bounds = found.groupBy(F.col("endpoint_id").alias("e")).agg(F.min_by("percentile", "share").alias("low"), F.max_by("percentile", "share").alias("high"))
+    published = _table(spark, d, "burst_thresholds").where(F.col("p95_threshold").isNotNull()).select("endpoint_id", "p95_threshold")
+    off = published.join(bounds, published["endpoint_id"].eqNullSafe(bounds["e"]))
+    return off.where((F.col("p95_threshold") < F.col("low")) | (F.col("p95_threshold") > F.col("high"))).select("endpoint_id")
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    found = percentiles.percentiles(_table(spark, d, "series_5min").select("endpoint_id", "source_batch", "token_load"), ["endpoint_id", "source_batch"], "token_load", [0.5, 0.95, 0.99])
+    return found.select("endpoint_id", "source_batch", "share", F.round("percentile", 3).alias("percentile"), "n")
+
+
+def p5_mergeable(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles from sketches per endpoint and day, merged over the days, beside the exact rank values and the error.
+
+    All windows count, those with zero or negative loads too. exact is the value at rank ceil(share * n), error the
+    relative error of the estimate (0 where both are 0), at most ERROR.
+    """
+    series, shares = _table(spark, d, "series_5min").select("endpoint_id", "timestamp", "token_load"), [0.5, 0.95, 0.99]
+    days = materialize(percentiles.daily_sketches(series, ["endpoint_id"], "timestamp", "token_load", ERROR))
+    estimates = percentiles.sketch_percentiles(percentiles.merge_sketches(days, ["endpoint_id"]), ["endpoint_id"], shares, ERROR)
+    found = percentiles.percentiles(series, ["endpoint_id"], "token_load", shares, at_rank=True)
+    found = found.select(F.col("endpoint_id").alias("e"), F.col("share").alias("s"), F.col("percentile").alias("exact"), "n")
+    both = estimates.join(found, F.col("endpoint_id").eqNullSafe(F.col("e")) & (F.col("share") == F.col("s")))
+    off = F.abs(F.col("percentile") - F.col("exact"))
+    error = F.when(off == 0, F.lit(0.0)).otherwise(off / F.abs(F.col("exact")))
+    return both.select("endpoint_id", "share", F.round("percentile", 3).alias("percentile"), "exact", F.round(error, 6).alias("error"), "n")
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), _table(spark, d, "context_windows"))
 
@@ -42,10 +77,31 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_report(documents, spans.shared_windows(documents))
 
 
-QUERIES = {f.__name__: f for f in (p7_packing, p7_fill, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_mergeable, p7_packing, p7_fill, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)}
 
 ORACLES = {}
 
+ORACLES["p5_found"] = r"""
+WITH q AS (SELECT endpoint_id, quantile_cont(token_load::DOUBLE, 0.94) AS a, quantile_cont(token_load::DOUBLE, 0.96) AS b FROM series_5min WHERE split = 'train' GROUP BY ALL)
+SELECT t.endpoint_id FROM burst_thresholds t JOIN q ON q.endpoint_id IS NOT DISTINCT FROM t.endpoint_id WHERE p95_threshold < a OR p95_threshold > b
+"""
+
+ORACLES["p5_percentiles"] = r"""
+SELECT endpoint_id, source_batch, s::DOUBLE AS share, round(CASE s WHEN 0.5 THEN a WHEN 0.95 THEN b ELSE c END, 3) AS percentile, n
+FROM (SELECT endpoint_id, source_batch, quantile_cont(token_load::DOUBLE, 0.5) AS a, quantile_cont(token_load::DOUBLE, 0.95) AS b, quantile_cont(token_load::DOUBLE, 0.99) AS c, count(token_load) AS n FROM series_5min GROUP BY ALL),
+  (SELECT UNNEST([0.5, 0.95, 0.99]) AS s) WHERE n > 0
+"""
+
+#: Buckets of the sketches: exponents to the base 1 + ERROR, rising with the value.
+_LOG = f"ln({1 + ERROR}e0)"
+ORACLES["p5_mergeable"] = rf"""
+WITH v AS (SELECT endpoint_id, token_load::DOUBLE AS v, CASE WHEN token_load = 0 THEN 0 ELSE sign(token_load) * (floor(ln(abs(token_load)) / {_LOG}) + 1) END AS b FROM series_5min WHERE token_load IS NOT NULL),
+o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY endpoint_id) AS n FROM v WINDOW w AS (PARTITION BY endpoint_id ORDER BY v)),
+r AS (SELECT endpoint_id, s::DOUBLE AS share, v AS exact, n, CASE WHEN b = 0 THEN 0.0 ELSE sign(b) * exp((abs(b) - 0.5) * {_LOG}) END AS p FROM o, (SELECT UNNEST([0.5e0, 0.95e0, 0.99e0]) AS s) WHERE i = greatest(ceil(s * n), 1))
+SELECT endpoint_id, share, round(p, 3) AS percentile, exact, round(CASE WHEN p = exact THEN 0 ELSE abs(p - exact) / abs(exact) END, 6) AS error, n FROM r
+"""
+
+
 ORACLES["p8_found"] = r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda w: lower(w)) AS w FROM documents),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda w: lower(w)) AS w FROM eval_items),
