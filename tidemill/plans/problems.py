@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import badrows, drift, multiselect, regular, rolling, spikes
+from tidemill.operators import badrows, drift, regular, rolling, spikes
 from tidemill.plans.physical import materialize, sized_join
 
 
@@ -115,42 +115,6 @@ def p4_context(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-# -- 5: percentiles
-
-ERROR = 0.01
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    train = table(spark, d, "series_5min").where(F.col("split") == "train").select("endpoint_id", "token_load")
-    found = multiselect.percentiles(train, ["endpoint_id"], "token_load", [0.94, 0.96])
-    bounds = found.groupBy(F.col("endpoint_id").alias("e")).agg(F.min_by("percentile", "share").alias("low"), F.max_by("percentile", "share").alias("high"))
-    published = table(spark, d, "burst_thresholds").where(F.col("p95_threshold").isNotNull()).select("endpoint_id", "p95_threshold")
-    off = published.join(bounds, published["endpoint_id"].eqNullSafe(bounds["e"]))
-    return off.where((F.col("p95_threshold") < F.col("low")) | (F.col("p95_threshold") > F.col("high"))).select("endpoint_id")
-
-
-def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    found = multiselect.percentiles(table(spark, d, "series_5min").select("endpoint_id", "source_batch", "token_load"), ["endpoint_id", "source_batch"], "token_load", [0.5, 0.95, 0.99])
-    return found.select("endpoint_id", "source_batch", "share", F.round("percentile", 3).alias("percentile"), "n")
-
-
-def p5_mergeable(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles from sketches per endpoint and day, merged over the days, beside the exact rank values and the error.
-
-    All windows count, those with zero or negative loads too. exact is the value at rank ceil(share * n), error the
-    relative error of the estimate (0 where both are 0), at most ERROR.
-    """
-    series, shares = table(spark, d, "series_5min").select("endpoint_id", "timestamp", "token_load"), [0.5, 0.95, 0.99]
-    days = materialize(multiselect.daily_sketches(series, ["endpoint_id"], "timestamp", "token_load", ERROR))
-    estimates = multiselect.sketch_percentiles(multiselect.merge_sketches(days, ["endpoint_id"]), ["endpoint_id"], shares, ERROR)
-    found = multiselect.percentiles(series, ["endpoint_id"], "token_load", shares, at_rank=True)
-    found = found.select(F.col("endpoint_id").alias("e"), F.col("share").alias("s"), F.col("percentile").alias("exact"), "n")
-    both = estimates.join(found, F.col("endpoint_id").eqNullSafe(F.col("e")) & (F.col("share") == F.col("s")))
-    off = F.abs(F.col("percentile") - F.col("exact"))
-    error = F.when(off == 0, F.lit(0.0)).otherwise(off / F.abs(F.col("exact")))
-    return both.select("endpoint_id", "share", F.round("percentile", 3).alias("percentile"), "exact", F.round(error, 6).alias("error"), "n")
-
-
 # -- 6: rows that fail to parse
 
 
@@ -166,7 +130,7 @@ def p6_rejected(spark: SparkSession, d: str) -> DataFrame:
     return badrows.split_rows(table(spark, d, "trace_lines"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_correspondences, p2_found, p2_rolling, p3_found, p3_grid, p4_found, p4_context, p5_found, p5_percentiles, p5_mergeable, p6_found, p6_loaded, p6_rejected)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_correspondences, p2_found, p2_rolling, p3_found, p3_grid, p4_found, p4_context, p6_found, p6_loaded, p6_rejected)}
 
 ORACLES = {}
 
@@ -248,17 +212,6 @@ UNION ALL SELECT tbl, row_id, field, 'spike' FROM r JOIN m USING (tbl, field, en
 UNION ALL SELECT tbl, row_id, field, 'stuck' FROM k WHERE run >= 12 AND v <> 0
 """
 
-ORACLES["p5_found"] = r"""
-WITH q AS (SELECT endpoint_id, quantile_cont(token_load::DOUBLE, 0.94) AS a, quantile_cont(token_load::DOUBLE, 0.96) AS b FROM series_5min WHERE split = 'train' GROUP BY ALL)
-SELECT t.endpoint_id FROM burst_thresholds t JOIN q ON q.endpoint_id IS NOT DISTINCT FROM t.endpoint_id WHERE p95_threshold < a OR p95_threshold > b
-"""
-
-ORACLES["p5_percentiles"] = r"""
-SELECT endpoint_id, source_batch, s::DOUBLE AS share, round(CASE s WHEN 0.5 THEN a WHEN 0.95 THEN b ELSE c END, 3) AS percentile, n
-FROM (SELECT endpoint_id, source_batch, quantile_cont(token_load::DOUBLE, 0.5) AS a, quantile_cont(token_load::DOUBLE, 0.95) AS b, quantile_cont(token_load::DOUBLE, 0.99) AS c, count(token_load) AS n FROM series_5min GROUP BY ALL),
-  (SELECT UNNEST([0.5, 0.95, 0.99]) AS s) WHERE n > 0
-"""
-
 _NUMBER = r"regexp_full_match({0}, '[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?') AND coalesce(try_cast({0} AS DOUBLE) BETWEEN 0 AND 1.7976931348623157e308, false)"
 _LINES = r"""
 WITH q AS (SELECT *, regexp_full_match(line, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS quoted FROM trace_lines),
