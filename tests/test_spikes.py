@@ -69,7 +69,7 @@ def test_context(spark):
 
 def test_empty(spark, rows):
     df = spark.createDataFrame([], "s string, t timestamp, id bigint, v bigint")
-    assert rows(spikes.stuck_rows(df, "s", "t", "id", ["v"])) == rows(spikes.contextual_flags(df, "s", "t", "id", "v")) == rows(spikes.source_medians(df, ["s"], "v", ["id"])) == []
+    assert rows(spikes.stuck_rows(df, "s", "t", "id", ["v"])) == rows(spikes.contextual_flags(df, "s", "t", "id", "v")) == rows(spikes.source_medians(df, ["s"], "v", ["id"])) == rows(spikes.spikes(df, ["s"], "v", "t", ["id"], 20)) == []
 
 
 def test_jumps_in_both_directions_and_beside_zero(spark):
@@ -85,3 +85,17 @@ def test_context_of_all_fields(spark):
 
     got = {(r["tbl"], r["field"]) for r in problems.p4_context(spark, str(DATA)).select("tbl", "field").distinct().collect()}
     assert got == {("requests", "total_tokens"), ("requests", "response_tokens"), ("series_5min", "token_load")}
+
+
+def test_spikes_are_all_proposed(spark):
+    rng = random.Random(9)
+    ts = lambda k: dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(hours=k)
+    data = []
+    for s, level in (("a", 40), ("b", 0), (None, 1000), ("heavy", 3)):
+        # Some hours are far above the median as a rule: their own fences alone would let spikes pass.
+        data += [(s, len(data) + k, ts(k) if k % 11 else None, max(0, int(rng.lognormvariate(1, 2 if s == "heavy" else 0.3) * level * (25 if k % 24 < 6 else 1)))) for k in range(400)]
+    data += [("a", 9001, ts(5), None), ("one", 9002, ts(1), 7)]
+    df = spark.createDataFrame([(*r, "x") for r in data], "s string, id bigint, t timestamp, v bigint, high string")
+    got = {r["id"] for r in spikes.spikes(df.drop("high"), ["s"], "v", "t", ["id"], 20).collect()}
+    want = {i for s, i, _, v in data if v is not None and v > 20 * statistics.median(x for k, _, _, x in data if k == s and x is not None)}
+    assert got == want and len(want) > 50

@@ -48,20 +48,42 @@ def cells(df: DataFrame, source: str, ts: str, value: str, cell_seconds: int = C
 def holds(cell_rows: DataFrame) -> DataFrame:
     """The validity intervals that leave their cell: each cell's last value is valid until the next cell's first reading.
 
-    Adds next_cell, next_us (null for the last cell of a source) and empty_cells, the whole cells in between. The window
-    runs over cells, of which a source has at most one per grid step of its recorded time, however many its readings are.
+    Adds next_cell and next_us (null for the last cell of a source). The window runs over cells, of which a source has
+    at most one per grid step of its recorded time, however many its readings are.
     """
     by = Window.partitionBy("source").orderBy("cell")
-    return cell_rows.withColumns({"next_cell": F.lead("cell").over(by), "next_us": F.lead("first_us").over(by)}).withColumn(
-        "empty_cells", F.col("next_cell") - F.col("cell") - 1
-    )
+    return cell_rows.withColumns({"next_cell": F.lead("cell").over(by), "next_us": F.lead("first_us").over(by)})
 
 
-def gaps(held: DataFrame, least: int = 12, most: int = 2016, cell_seconds: int = CELL_SECONDS) -> DataFrame:
-    """Intervals that cover `least` to `most` whole cells without a reading: (source, gap_start, n_windows)."""
-    return held.where(F.col("empty_cells").between(least, most)).select(
-        "source", ((F.col("cell") + 1) * cell_seconds).alias("gap_start"), F.col("empty_cells").alias("n_windows")
-    )
+def cut(held: DataFrame, cell_seconds: int = CELL_SECONDS, hold_seconds: int = 3600) -> DataFrame:
+    """The validity intervals cut by the grid: adds end_us and pieces, one per cell an interval touches, in order.
+
+    A piece is (c, n_readings, covered): the cell, its own readings (1 for the head of the next cell that holds one, whose
+    readings are counted there) and the microseconds of the cell under the interval. An interval touches its own cell, the
+    empty cells after it and the head of the next cell with a reading; it ends `hold_seconds` after its reading at the latest.
+    """
+    width = cell_seconds * 1_000_000
+    end_us = F.least(F.coalesce(F.col("next_us"), (F.col("cell") + 1) * width), F.col("last_us") + hold_seconds * 1_000_000)
+    valued = F.col("last_value").isNotNull()
+
+    def piece(c):
+        covered = F.least(F.col("end_us"), (c + 1) * width) - F.greatest(F.col("last_us"), c * width)
+        readings = F.when(c == F.col("cell"), F.col("n")).when(c == F.col("next_cell"), F.lit(1)).otherwise(F.lit(0))
+        return F.struct(c.alias("c"), readings.cast("bigint").alias("n_readings"), F.when(valued & (covered > 0), covered).otherwise(F.lit(0)).alias("covered"))
+
+    return held.withColumn("end_us", end_us).withColumn("pieces", F.transform(F.sequence("cell", F.coalesce("next_cell", "cell")), piece))
+
+
+def gaps(pieces: DataFrame, least: int = 12, most: int = 2016, cell_seconds: int = CELL_SECONDS) -> DataFrame:
+    """Runs of `least` to `most` cells without a reading between two readings: (source, gap_start, n_windows, coverage).
+
+    pieces: rows of cut(); the empty cells between two readings are pieces of one interval, so no run is put together
+    over rows. coverage is the fraction of the run that is still under the interval.
+    """
+    empty = pieces.withColumn("empty", F.filter("pieces", lambda p: p["n_readings"] == 0)).where(F.size("empty").between(least, most))
+    covered = F.aggregate("empty", F.lit(0).cast("bigint"), lambda total, p: total + p["covered"])
+    n = F.size("empty").cast("bigint")
+    return empty.select("source", (F.col("empty")[0]["c"] * cell_seconds).alias("gap_start"), n.alias("n_windows"), (covered / (n * F.lit(cell_seconds * 1e6))).alias("coverage"))
 
 
 def regular_grid(df: DataFrame, source: str, ts: str, value: str, cell_seconds: int = CELL_SECONDS, hold_seconds: int = 3600) -> DataFrame:
@@ -73,23 +95,16 @@ def regular_grid(df: DataFrame, source: str, ts: str, value: str, cell_seconds:
     always reaches the next reading of that cell), status: observed, held (empty, covered at least in part) or missing.
     """
     width = cell_seconds * 1_000_000
-    held = holds(cells(df, source, ts, value, cell_seconds))
-    end_us = F.least(F.coalesce(F.col("next_us"), (F.col("cell") + 1) * width), F.col("last_us") + hold_seconds * 1_000_000)
-    last = F.coalesce(F.col("next_cell") - 1, F.col("cell"))
-    # An interval touches its own cell, the empty cells after it and the head of the next cell with a reading.
-    spans = held.withColumns({"end_us": end_us, "c": F.explode(F.sequence(F.col("cell"), F.coalesce(F.col("next_cell"), last)))})
-    start = F.greatest(F.col("last_us"), F.col("c") * width)
-    stop = F.least(F.col("end_us"), (F.col("c") + 1) * width)
-    own = F.col("c") == F.col("cell")
-    reach = F.when(F.col("last_value").isNotNull(), F.greatest(stop - start, F.lit(0))).otherwise(F.lit(0))
+    spans = cut(holds(cells(df, source, ts, value, cell_seconds)), cell_seconds, hold_seconds).withColumn("p", F.explode("pieces"))
+    own = F.col("p.c") == F.col("cell")
     inner = F.when(own, F.col("inner_us")).otherwise(F.lit(0))
     pieces = spans.select(
         "source",
-        "c",
+        F.col("p.c").alias("c"),
         F.when(own, F.col("n")).otherwise(F.lit(0)).alias("n"),
         F.when(own, F.coalesce(F.col("total"), F.lit(0))).otherwise(F.lit(0)).alias("total"),
-        (reach + inner).alias("covered"),
-        (F.coalesce(F.col("last_value"), F.lit(0)).cast("decimal(38,0)") * reach + F.when(own, F.col("inner_weight")).otherwise(F.lit(0))).cast("decimal(38,0)").alias("weight"),
+        (F.col("p.covered") + inner).alias("covered"),
+        (F.coalesce(F.col("last_value"), F.lit(0)).cast("decimal(38,0)") * F.col("p.covered") + F.when(own, F.col("inner_weight")).otherwise(F.lit(0))).cast("decimal(38,0)").alias("weight"),
     )
     whole = pieces.groupBy("source", "c").agg(
         F.sum("n").alias("n_readings"), F.sum("total").alias("total"), F.sum("covered").alias("covered"), F.sum("weight").cast("decimal(38,0)").alias("weight")

@@ -51,15 +51,15 @@ def sketch_rank(sketch: DataFrame, keys: list[str], share: float, name: str, err
     return ranked.select(*keys, middle.alias(name))
 
 
-def source_medians(df: DataFrame, keys: list[str], value: str, spread: list[str], error: float = SKETCH_ERROR) -> DataFrame:
+def source_medians(df: DataFrame, keys: list[str], value: str, spread: list[str], error: float = SKETCH_ERROR, sketch: DataFrame | None = None) -> DataFrame:
     """The exact median of every key (middle value, or mean of the two middle ones): (keys..., median, n).
 
-    A merged sketch finds the one or two buckets that hold the middle ranks; only the values in them are counted one by
+    A merged sketch (of df, or the given one of the same keys) finds the one or two buckets that hold the middle ranks; only the values in them are counted one by
     one, and of those again only distinct values travel, so no key's values are gathered.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, *[c for c in spread if c not in keys], F.col(value).alias("__v"), bucket_of(F.col(value), error).alias("bucket"))
     by = Window.partitionBy(*keys).orderBy("bucket")
-    sketch = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sketch = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")) if sketch is None else sketch
     ranked = sketch.withColumns({"below": F.sum("n").over(by) - F.col("n"), "total": F.sum("n").over(Window.partitionBy(*keys))})
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
@@ -120,6 +120,50 @@ def jumps(before: Column, value: Column, jump: float) -> Column:
     return F.when(across, a + b > jump).otherwise(F.greatest(a, b) > jump * F.greatest(F.least(a, b), F.lit(1.0)))
 
 
+def hour_of(ts: Column) -> Column:
+    """Hour of the day, UTC; null without a time."""
+    return F.pmod(F.floor(F.unix_micros(ts) / F.lit(3_600_000_000)), F.lit(24)).cast("int")
+
+
+def fences(sketch: DataFrame, keys: list[str], context: str, fence: float, times: float | None = None, error: float = SKETCH_ERROR) -> DataFrame:
+    """(keys..., context, q1, q3, low, high) from a sketch by keys and context: low and high are `fence` spreads beyond the quartiles.
+
+    times: high is also at most the bound below which no value is more than `times` the median of its keys; that bound comes
+    from the sketch merged over all contexts, lowered by its error, so no such value stays within the fences.
+    """
+    group = [*keys, context]
+    q1, q3 = sketch_rank(sketch, group, 0.25, "q1", error), sketch_rank(sketch, group, 0.75, "q3", error)
+    same = F.lit(True)
+    for k in group:
+        same = same & F.col(k).eqNullSafe(F.col(f"__3_{k}"))
+    both = q1.join(q3.withColumnsRenamed({k: f"__3_{k}" for k in group}), same).drop(*[f"__3_{k}" for k in group])
+    spread = F.col("q3") - F.col("q1")
+    both = both.withColumns({"low": F.col("q1") - fence * spread, "high": F.col("q3") + fence * spread})
+    if times is None:
+        return both
+    middle = sketch_rank(sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n")), keys, 0.5, "__m", error).withColumnsRenamed({k: f"__m_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__m_{k}"))
+    bound = F.lit(times) * (F.col("__m") - F.abs("__m") * F.lit(error))
+    return both.join(middle, same).withColumn("high", F.least("high", bound)).drop("__m", *[f"__m_{k}" for k in keys])
+
+
+def spikes(df: DataFrame, keys: list[str], value: str, ts: str, spread: list[str], times: float, fence: float = 3.0, error: float = SKETCH_ERROR) -> DataFrame:
+    """Rows of df whose value is more than `times` the median of their keys, as proposed by the fences of their hour and then checked.
+
+    One sketch by keys and hour of the day, counted partially in every task, gives the fences; merged over the hours it
+    also gives the buckets of the medians. Only rows outside their fence are held against the exact median; see fences
+    for why none is missed. Null values are no spikes; rows without a time are an hour of their own.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("__hour", hour_of(F.col(ts)))
+    sketch = materialize(quantile_sketch(rows, [*keys, "__hour"], value, error))
+    bounds = materialize(fences(sketch, keys, "__hour", fence, times, error).select(*keys, "__hour", "high"))
+    outside = sized_join(rows, bounds, [*keys, "__hour"], spread).where(F.col(value) > F.col("high")).drop("__hour", "high")
+    medians = materialize(source_medians(df, keys, value, spread, error, sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))))
+    return sized_join(outside, medians.select(*keys, "median"), keys, spread).where(F.col(value) > times * F.col("median")).drop("median")
+
+
 def contextual_flags(df: DataFrame, source: str, ts: str, row_id: str, value: str, fence: float = 3.0, jump: float = 50.0, error: float = SKETCH_ERROR) -> DataFrame:
     """Readings outside their source's habits: (source, row_id, hour, value, q1, q3, outside, jumped).
 
@@ -133,20 +177,15 @@ def contextual_flags(df: DataFrame, source: str, ts: str, row_id: str, value: st
         F.col(source).alias("source"),
         F.col(row_id).alias("row_id"),
         F.unix_micros(F.col(ts)).alias("us"),
+        hour_of(F.col(ts)).alias("hour"),
         F.col(value).alias("value"),
     )
-    rows = rows.withColumns(
-        {"day": F.floor(F.col("us") / F.lit(DAY_SECONDS * 1_000_000)).cast("bigint"), "hour": (F.pmod(F.floor(F.col("us") / F.lit(3_600_000_000)), F.lit(24))).cast("int")}
-    )
-    sketch = quantile_sketch(rows, ["source", "hour"], "value", error)
-    q1, q3 = sketch_rank(sketch, ["source", "hour"], 0.25, "q1", error), sketch_rank(sketch, ["source", "hour"], 0.75, "q3", error)
-    q3 = q3.withColumnsRenamed({"source": "s3", "hour": "h3"})
-    fences = materialize(q1.join(q3, q1["source"].eqNullSafe(q3["s3"]) & (q1["hour"] == q3["h3"])).drop("s3", "h3"))
+    rows = rows.withColumn("day", F.floor(F.col("us") / F.lit(DAY_SECONDS * 1_000_000)).cast("bigint"))
+    bounds = materialize(fences(quantile_sketch(rows, ["source", "hour"], "value", error), ["source"], "hour", fence, error=error))
     linked = with_previous(rows, ["source"], "day", ["us", "row_id"], "value", "before")
-    spread = F.col("q3") - F.col("q1")
-    flagged = sized_join(linked.select("source", "row_id", "hour", "value", "before"), fences, ["source", "hour"], ["row_id"]).withColumns(
+    flagged = sized_join(linked.select("source", "row_id", "hour", "value", "before"), bounds, ["source", "hour"], ["row_id"]).withColumns(
         {
-            "outside": (F.col("value") > F.col("q3") + fence * spread) | (F.col("value") < F.col("q1") - fence * spread),
+            "outside": (F.col("value") > F.col("high")) | (F.col("value") < F.col("low")),
             "jumped": F.coalesce(jumps(F.col("before").cast("double"), F.col("value").cast("double"), jump), F.lit(False)),
         }
     )

@@ -48,8 +48,8 @@ def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = regular.gaps(regular.holds(regular.cells(table(spark, d, "requests"), "endpoint_id", "timestamp", "total_tokens")))
-    return found.withColumnRenamed("source", "endpoint_id")
+    intervals = regular.holds(regular.cells(table(spark, d, "requests"), "endpoint_id", "timestamp", "total_tokens"))
+    return regular.gaps(regular.cut(intervals)).select(F.col("source").alias("endpoint_id"), "gap_start", "n_windows")
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def _series_readings(spark: SparkSession, d: str) -> DataFrame:
 
 def _long(readings: DataFrame, tbl: str, fields: list[str]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("bigint").alias("value"), F.array_contains("impossible", f).alias("impossible")) for f in fields]))
-    return readings.select(F.lit(tbl).alias("tbl"), "row_id", "endpoint_id", "counts", pairs.alias("x")).select("tbl", "row_id", "endpoint_id", "counts", "x.*")
+    return readings.select(F.lit(tbl).alias("tbl"), "row_id", "endpoint_id", "timestamp", "counts", pairs.alias("x")).select("tbl", "row_id", "endpoint_id", "timestamp", "counts", "x.*")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,8 +92,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     readings = _long(requests, "requests", ["total_tokens", "response_tokens"]).unionByName(_long(series, "series_5min", ["token_load"]))
     keys = ["tbl", "endpoint_id", "field"]
     sound = readings.where(~F.col("impossible") & F.col("counts") & F.col("value").isNotNull()).drop("impossible", "counts")
-    medians = materialize(spikes.source_medians(sound, keys, "value", ["row_id"]))
-    high = sized_join(sound, medians, keys, ["row_id"]).where(F.col("value") > TIMES_MEDIAN * F.col("median"))
+    high = spikes.spikes(sound, keys, "value", "timestamp", ["row_id"], TIMES_MEDIAN)
     out = ["tbl", "row_id", "field"]
     stuck = spikes.stuck_rows(requests, "endpoint_id", "timestamp", "row_id", ["total_tokens", "response_tokens"]).withColumn("tbl", F.lit("requests"))
     stuck = stuck.unionByName(spikes.stuck_rows(series, "endpoint_id", "timestamp", "row_id", ["token_load"]).withColumn("tbl", F.lit("series_5min")))
@@ -105,12 +104,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_context(spark: SparkSession, d: str) -> DataFrame:
-    """Contextual flags of the three fields of p4_found: (tbl, field, endpoint_id, row_id, hour, value, q1, q3, outside, jumped)."""
-    requests, series = table(spark, d, "requests"), table(spark, d, "series_5min")
+    """Contextual flags of the three fields of p4_found, impossible readings aside: (tbl, field, endpoint_id, row_id, hour, value, q1, q3, outside, jumped)."""
+    requests, series = _requests_readings(spark, d), _series_readings(spark, d)
     out = None
-    for tbl, rows, row_id, field in (("requests", requests, "request_id", "total_tokens"), ("requests", requests, "request_id", "response_tokens"), ("series_5min", series, "window_id", "token_load")):
-        flags = spikes.contextual_flags(rows, "endpoint_id", "timestamp", row_id, field).withColumns({"value": F.col("value").cast("bigint"), "tbl": F.lit(tbl), "field": F.lit(field)})
-        part = flags.select("tbl", "field", F.col("source").alias("endpoint_id"), "row_id", "hour", "value", "q1", "q3", "outside", "jumped")
+    for tbl, rows, field in (("requests", requests, "total_tokens"), ("requests", requests, "response_tokens"), ("series_5min", series, "token_load")):
+        possible = rows.where(~F.array_contains("impossible", field))
+        flags = spikes.contextual_flags(possible, "endpoint_id", "timestamp", "row_id", field).withColumns({"value": F.col("value").cast("bigint"), "tbl": F.lit(tbl), "field": F.lit(field)})
+        part = flags.select("tbl", "field", F.col("source").alias("endpoint_id"), "row_id", "hour", "value", F.round("q1", 3).alias("q1"), F.round("q3", 3).alias("q3"), "outside", "jumped")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -212,6 +212,20 @@ UNION ALL SELECT tbl, row_id, field, 'spike' FROM r JOIN m USING (tbl, field, en
 UNION ALL SELECT tbl, row_id, field, 'stuck' FROM k WHERE run >= 12 AND v <> 0
 """
 
+ORACLES["p4_context"] = r"""
+WITH r AS (
+  SELECT 'requests' AS tbl, request_id AS row_id, 'total_tokens' AS field, endpoint_id, "timestamp" AS ts, total_tokens AS v FROM requests WHERE NOT coalesce(total_tokens < 0 OR total_tokens < response_tokens, false)
+  UNION ALL SELECT 'requests', request_id, 'response_tokens', endpoint_id, "timestamp", response_tokens FROM requests WHERE NOT coalesce(response_tokens < 0, false)
+  UNION ALL SELECT 'series_5min', window_id, 'token_load', endpoint_id, "timestamp", token_load FROM series_5min WHERE NOT coalesce(token_load < 0 OR (token_load > 0 AND request_count = 0), false)),
+u AS (SELECT *, (floor(epoch_us(ts) / 3600000000)::BIGINT % 24)::INT AS hour, CASE WHEN v = 0 THEN 0.0 ELSE exp((floor(ln(v) / ln(1.02e0)) + 0.5) * ln(1.02e0)) END AS m,
+  lag(v) OVER (PARTITION BY tbl, field, endpoint_id ORDER BY epoch_us(ts), row_id)::DOUBLE AS b FROM r WHERE v IS NOT NULL AND ts IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY tbl, field, endpoint_id, hour ORDER BY v) AS i, count(*) OVER (PARTITION BY tbl, field, endpoint_id, hour) AS n FROM u),
+q AS (SELECT tbl, field, endpoint_id, hour, max(m) FILTER (i = greatest(ceil(n * 0.25), 1)) AS q1, max(m) FILTER (i = greatest(ceil(n * 0.75), 1)) AS q3 FROM o GROUP BY ALL),
+f AS (SELECT u.*, q1, q3, v > q3 + 3 * (q3 - q1) OR v < q1 - 3 * (q3 - q1) AS outside, coalesce(greatest(b, v) > 50 * greatest(least(b, v), 1), false) AS jumped
+  FROM u JOIN q ON q.tbl = u.tbl AND q.field = u.field AND q.endpoint_id IS NOT DISTINCT FROM u.endpoint_id AND q.hour = u.hour)
+SELECT tbl, field, endpoint_id, row_id, hour, v AS value, round(q1, 3) AS q1, round(q3, 3) AS q3, outside, jumped FROM f WHERE outside OR jumped
+"""
+
 _NUMBER = r"regexp_full_match({0}, '[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?') AND coalesce(try_cast({0} AS DOUBLE) BETWEEN 0 AND 1.7976931348623157e308, false)"
 _LINES = r"""
 WITH q AS (SELECT *, regexp_full_match(line, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS quoted FROM trace_lines),
