@@ -57,6 +57,14 @@ def test_cells_as_csv_reads_them(spark):
     assert [list(g["cells"]) for g in got] == [[x.strip(" \t\r\n\f\v") for x in r] for r in records]
 
 
+def test_marks_totals_and_range(spark, rows):
+    odd = "1,GPT-4,1,1,2,API log,a\u0001b\u0002a\u0002,3"
+    df, _ = judge(spark, [odd, "9e12,GPT-4,1,1,2,API log,,", "1,GPT-4,9e18,1,2,API log,,", '1,GPT-4,"3",4,oops,API log,"x\u0001,y",'], HEAD + ",Session ID,Elapsed time")
+    loaded, rejected = badrows.split_rows(df)
+    assert rows(loaded.select("line_id", "session_id", "total_tokens", "reported_total_tokens")) == [(1, "a\u0001b\u0002a\u0002", 2, 2), (4, "x\u0001,y", 7, None)]
+    assert rows(rejected.select("line_id", "reason")) == [(2, "range"), (3, "range")]
+
+
 def test_empty(spark, rows):
     df, _ = judge(spark, [], None)
     assert [rows(x) for x in badrows.split_rows(df)] == [[], []]

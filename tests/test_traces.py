@@ -39,6 +39,8 @@ def test_ledger_counts_the_first_rule(spark):
     clean = cleaning.clean(df, cleaning.RAW, "o", F.lit("1")).orderBy("reported_total_tokens").collect()
     assert [(r["request_tokens"], r["total_tokens"], r["reported_total_tokens"]) for r in clean] == [(1, 3, 3), (1, 3, 9)]
     assert cleaning.total_mismatches(cleaning.clean(df, cleaning.RAW, "o", F.lit("1"))).first()["mismatches"] == 1
+    shaped = cleaning.ledger(df.withColumn("shape", F.when(F.col("o") < 2, F.lit("quoting"))), cleaning.RAW, "o", "shape")
+    assert {r["reason"]: r["n"] for r in shaped.collect()} == got | {"quoting": 2, "column_count": 0, "duplicate": 0, "kept": 1}
     empty = cleaning.ledger(df.where("false"), cleaning.RAW, "o").agg(F.sum("n")).first()[0]
     assert empty == 0
 
@@ -186,6 +188,10 @@ def test_sources_round_trip(spark, tmp_path, rows):
     assert rows(traces.scan_csv(spark, str(tmp_path / "c"), ["log_type"])) == [("1", 'a "b", c'), ("2", None)]
     with pytest.raises(ValueError, match="missing columns: nope"):
         traces.scan_csv(spark, str(tmp_path / "c"), ["nope"])
+    (tmp_path / "m.csv").write_text('Id,Log Type\n1,"a\nb"\n2\n3,d,extra\n4,"x,""y"""\n')
+    assert rows(traces.scan_csv(spark, str(tmp_path / "m.csv"))) == [("1", "a\nb"), ("4", 'x,"y"')]
+    assert [r["record"] for r in traces.rejected_csv(spark, str(tmp_path / "m.csv")).collect()] == ["2", "3,d,extra"]
+    assert traces.scan_csv(spark, str(tmp_path / "m.csv")).count() == 2
     traces.write_parquet(df, str(tmp_path / "p"), ["Id"])
     assert traces.scan_parquet(spark, str(tmp_path / "p"), ["Id"]).count() == 2
     traces.report_csv(spark.createDataFrame([(1, 1234.5, None)], "a int, b double, c double"), str(tmp_path / "r.csv"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.scalars import coerce_numeric
 from tidemill.plans.physical import materialize, sized_join
 
 #: The columns of a trace without a readable header.
@@ -22,6 +23,8 @@ RULES = [
 ]
 REASONS = {1: "quoting", 2: "column_count", 3: "timestamp", 4: "tokens", 5: "model", 6: "log_type"}
 NUMBER = r"^[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?$"
+#: Seconds and counts from these on do not fit TIMESTAMP and BIGINT.
+SECONDS_END, COUNT_END = 9e12, 9e18
 BLANKS = " \t\r\n\f\u000b"
 
 
@@ -47,11 +50,13 @@ def well_quoted(line: Column) -> Column:
 
 def cells_of(line: Column) -> Column:
     """The fields of a well-quoted line, unquoted, blanks around them dropped."""
-    mark = "\u0001"
-    parts = segments(F.translate(line, mark, "\u0002"))
-    marked = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.translate(x, ",", mark)).otherwise(x)), '"')
+    # Commas outside quotes become a mark; where the mark itself occurs in the line it is spelled with an escape meanwhile.
+    mark, escape = "\u0001", "\u0002"
+    spelled = F.replace(F.replace(line, F.lit(escape), F.lit(escape + "b")), F.lit(mark), F.lit(escape + "a"))
+    marked = F.array_join(F.transform(segments(spelled), lambda x, i: F.when(i % 2 == 0, F.translate(x, ",", mark)).otherwise(x)), '"')
+    plain = lambda x: F.replace(F.replace(x, F.lit(escape + "a"), F.lit(mark)), F.lit(escape + "b"), F.lit(escape))
     unquoted = lambda x: F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
-    return F.transform(F.split(marked, mark, -1), lambda x: F.btrim(unquoted(x), F.lit(BLANKS)))
+    return F.transform(F.split(marked, mark, -1), lambda x: F.btrim(plain(unquoted(x)), F.lit(BLANKS)))
 
 
 def column_name(name: Column) -> Column:
@@ -114,26 +119,38 @@ def failures(judged: DataFrame) -> DataFrame:
     return worst.select("line_id", names[F.col("place")].alias("reason"))
 
 
+def cell(name: str) -> Column:
+    """The text of a judged line's column, null if its file has none of that name."""
+    return F.get("cells", F.array_position("names", name).cast("int") - 1)
+
+
 def split_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(loaded, rejected): the valid lines as typed requests, and (line_id, source_file, line_no, line, reason) of the others.
 
-    loaded is the anti-join of the lines with the failures. Columns a file does not have are null.
+    loaded is the anti-join of the lines with the failures. total_tokens is the sum of both counts, reported_total_tokens
+    what the line holds, null if that is no number. Columns a file does not have are null. Lines that are valid but whose
+    time or counts do not fit a TIMESTAMP or BIGINT are rejected as `range`, the last of the reasons.
     """
     judged = materialize(judge(lines))
-    failed = materialize(failures(judged))
+    seconds, request, response = (cell(c).try_cast("double") for c in ("timestamp", "request_tokens", "response_tokens"))
+    wide = (seconds >= SECONDS_END) | (request + response >= COUNT_END)
+    failing = failures(judged)
+    found = judged.where(wide).select("line_id", F.lit("range").alias("reason"))
+    failed = materialize(failing.unionByName(found).groupBy("line_id").agg(F.min_by("reason", F.col("reason") == "range").alias("reason")))
     rejected = judged.select("line_id", "source_file", "line_no", "line").join(failed, "line_id")
     clean = judged.join(failed, "line_id", "left_anti")
-    cell = lambda name: F.get("cells", F.array_position("names", name).cast("int") - 1)
-    seconds = cell("timestamp").try_cast("double")
+    reported = coerce_numeric(cell("total_tokens"))
     loaded = clean.select(
         "line_id",
         "source_file",
-        F.timestamp_micros(F.when(seconds < 9e12, F.round(seconds * 1e6).cast("bigint"))).alias("timestamp"),
+        F.timestamp_micros(F.round(seconds * 1e6).cast("bigint")).alias("timestamp"),
         seconds.alias("timestamp_relative_seconds"),
         cell("model").alias("model"),
         cell("log_type").alias("log_type"),
-        cell("request_tokens").try_cast("double").cast("bigint").alias("request_tokens"),
-        cell("response_tokens").try_cast("double").cast("bigint").alias("response_tokens"),
+        request.cast("bigint").alias("request_tokens"),
+        response.cast("bigint").alias("response_tokens"),
+        (request.cast("bigint") + response.cast("bigint")).alias("total_tokens"),
+        F.when(F.abs(reported) < COUNT_END, reported).cast("bigint").alias("reported_total_tokens"),
         F.nullif(cell("session_id"), F.lit("")).alias("session_id"),
         cell("elapsed_time").try_cast("double").alias("elapsed_time"),
     )

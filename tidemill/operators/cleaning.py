@@ -13,6 +13,8 @@ from tidemill.plans.windows import with_previous
 
 RAW = ["timestamp", "model", "request_tokens", "response_tokens", "total_tokens", "log_type"]
 OPTIONAL = ["session_id", "elapsed_time"]
+#: Shapes in which a line is no row, before all rules.
+SHAPES = ["quoting", "column_count"]
 #: The rules in the order in which they delete; a row counts for the first it fails.
 REASONS = ["unparseable_timestamp", "non_numeric_tokens", "negative_tokens", "critical_missing", "duplicate"]
 
@@ -61,24 +63,28 @@ def distinct_rows(raw: DataFrame, columns: Sequence[str], order: str) -> DataFra
     return raw.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"))
 
 
-def ledger(raw: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """(reason, deleted) for every rule, rules that delete nothing included, and reason 'kept'.
+def ledger(raw: DataFrame, columns: Sequence[str], order: str, shape: str | None = None) -> DataFrame:
+    """(reason, n) for every rule, rules that delete nothing included, and reason 'kept'.
 
-    Equal rows fail alike, so of n equal sound rows one is kept and n - 1 are duplicates.
+    Equal rows fail alike, so of n equal sound rows one is kept and n - 1 are duplicates. shape: a column that holds one of
+    SHAPES for lines that are no rows, and null for the others; each such line counts for its shape.
     """
-    judged = distinct_rows(raw, columns, order).withColumn("reason", failing_rule())
+    first = [shape] if shape else []
+    rule = F.coalesce(F.col(shape), failing_rule()) if shape else failing_rule()
+    judged = distinct_rows(raw, [*columns, *first], order).withColumn("reason", rule)
+    reasons = [*(SHAPES if shape else []), *REASONS[:-1]]
     sums = judged.agg(
-        *[F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("copies"))), F.lit(0)).alias(r) for r in REASONS[:-1]],
+        *[F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("copies"))), F.lit(0)).alias(r) for r in reasons],
         F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("copies") - 1)), F.lit(0)).alias(REASONS[-1]),
         F.count_if(F.col("reason").isNull()).alias("kept"),
     )
-    return sums.unpivot([], [*REASONS, "kept"], "reason", "n")
+    return sums.unpivot([], [*reasons, REASONS[-1], "kept"], "reason", "n")
 
 
 def clean(raw: DataFrame, columns: Sequence[str], order: str, batch: Column) -> DataFrame:
     """Sound rows, once each, with their types: total_tokens is recomputed, the delivered one kept beside it."""
     n = numbers()
-    tokens = {c: n[c].cast("bigint") for c in ("request_tokens", "response_tokens")}
+    tokens = {c: n[c].try_cast("bigint") for c in ("request_tokens", "response_tokens")}
     kept = distinct_rows(raw, columns, order).where(failing_rule().isNull())
     optional = {
         "session_id": F.trim("session_id") if "session_id" in columns else F.lit(None).cast("string"),
@@ -93,7 +99,7 @@ def clean(raw: DataFrame, columns: Sequence[str], order: str, batch: Column) ->
         tokens["request_tokens"].alias("request_tokens"),
         tokens["response_tokens"].alias("response_tokens"),
         (tokens["request_tokens"] + tokens["response_tokens"]).alias("total_tokens"),
-        n["total_tokens"].cast("bigint").alias("reported_total_tokens"),
+        n["total_tokens"].try_cast("bigint").alias("reported_total_tokens"),
         *[v.alias(k) for k, v in optional.items()],
     )
 

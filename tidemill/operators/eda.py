@@ -114,11 +114,14 @@ def phase_heatmap(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def log_histogram(df: DataFrame, value: str, buckets: int, top: float) -> DataFrame:
-    """(bucket, n): log(1 + value) in equal buckets of [0, log(1 + top)], the last closed; negative values and those above top are not counted."""
-    high = math.log1p(top)
-    x = F.log1p(F.col(value).cast("double"))
-    used = df.where(F.col(value).between(0, top))
-    return used.groupBy(clamped_bucket(x, 0.0, high, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """(bucket, n): log(1 + value) in equal buckets 1..buckets of [0, log(1 + top)], the last closed.
+
+    Bucket 0 counts negative values, bucket buckets + 1 those above top; nulls are not counted.
+    """
+    v = F.col(value)
+    inside = clamped_bucket(F.log1p(F.when(v >= 0, v).cast("double")), 0.0, math.log1p(top), buckets)
+    bucket = F.when(v < 0, F.lit(0).cast("bigint")).when(v > top, F.lit(buckets + 1).cast("bigint")).otherwise(inside)
+    return df.where(v.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:

@@ -241,7 +241,10 @@ f AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(cells) <> len(names
   WHEN mo NOT IN ('GPT-4', 'ChatGPT') THEN 'model' WHEN lt NOT IN ('API log', 'Conversation log') THEN 'log_type' END AS reason FROM v)
 """
 ORACLES["p6_found"] = _LINES + "SELECT line_id, reason FROM f WHERE reason IS NOT NULL"
-ORACLES["p6_rejected"] = _LINES + "SELECT f.line_id, f.source_file, f.line_no, t.line, reason FROM f JOIN trace_lines t USING (line_id) WHERE reason IS NOT NULL"
-ORACLES["p6_loaded"] = _LINES + r"""SELECT line_id, source_file, to_timestamp(ts::DOUBLE) AS "timestamp", ts::DOUBLE AS timestamp_relative_seconds, mo AS model, lt AS log_type,
-  trunc(req::DOUBLE)::BIGINT AS request_tokens, trunc(resp::DOUBLE)::BIGINT AS response_tokens, nullif(cells[list_position(names, 'session_id')], '') AS session_id,
-  try_cast(cells[list_position(names, 'elapsed_time')] AS DOUBLE) AS elapsed_time FROM f WHERE reason IS NULL"""
+_RANGED = _LINES + ", g AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN ts::DOUBLE >= 9e12 OR req::DOUBLE + resp::DOUBLE >= 9e18 THEN 'range' END AS why FROM f)"
+ORACLES["p6_rejected"] = _RANGED + "SELECT g.line_id, g.source_file, g.line_no, t.line, why AS reason FROM g JOIN trace_lines t USING (line_id) WHERE why IS NOT NULL"
+_TOTAL = "cells[list_position(names, 'total_tokens')]"
+ORACLES["p6_loaded"] = _RANGED + rf"""SELECT line_id, source_file, to_timestamp(ts::DOUBLE) AS "timestamp", ts::DOUBLE AS timestamp_relative_seconds, mo AS model, lt AS log_type,
+  trunc(req::DOUBLE)::BIGINT AS request_tokens, trunc(resp::DOUBLE)::BIGINT AS response_tokens, trunc(req::DOUBLE)::BIGINT + trunc(resp::DOUBLE)::BIGINT AS total_tokens,
+  CASE WHEN regexp_full_match({_TOTAL}, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND abs(try_cast({_TOTAL} AS DOUBLE)) < 9e18 THEN trunc(try_cast({_TOTAL} AS DOUBLE))::BIGINT END AS reported_total_tokens,
+  nullif(cells[list_position(names, 'session_id')], '') AS session_id, try_cast(cells[list_position(names, 'elapsed_time')] AS DOUBLE) AS elapsed_time FROM g WHERE why IS NULL"""

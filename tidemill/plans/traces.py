@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import scalars
@@ -26,12 +26,16 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemill-{uuid.uuid4().hex}"
 
 
-def raw_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Trace lines of the right shape as columns of text: source_file, line_no and COLUMNS."""
+def all_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All trace lines as columns of text: source_file, line_no, COLUMNS and shape, why a line is no row (its columns are null then)."""
     judged = badrows.judge(table(spark, d, "trace_lines"))
-    shaped = judged.where(F.col("cells").isNotNull() & (F.size("cells") == F.size("names")))
-    cell = lambda n: F.get("cells", F.array_position("names", n).cast("int") - 1)
-    return shaped.select("line_id", "source_file", "line_no", *[F.nullif(cell(c), F.lit("")).alias(c) for c in COLUMNS])
+    shape = F.when(F.col("cells").isNull(), F.lit("quoting")).when(F.size("cells") != F.size("names"), F.lit("column_count"))
+    return judged.withColumn("shape", shape).select("line_id", "source_file", "line_no", "shape", *[F.when(F.col("shape").isNull(), F.nullif(badrows.cell(c), F.lit(""))).alias(c) for c in COLUMNS])
+
+
+def raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Trace lines of the right shape; see all_lines."""
+    return all_lines(spark, d).where(F.col("shape").isNull()).drop("shape")
 
 
 _NUM = r"CASE WHEN regexp_full_match({0}, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND abs(try_cast({0} AS DOUBLE)) <= 1.7976931348623157e308 THEN try_cast({0} AS DOUBLE) END"
@@ -153,28 +157,35 @@ def c3_missing_mask(spark: SparkSession, d: str) -> DataFrame:
     return raw_lines(spark, d).select("line_id", *[scalars.is_missing(F.col(c)).alias(f"{c}_missing") for c in ("model", "log_type")])
 
 
-_REQUEST_KEYS = "endpoint_id, timestamp_relative_seconds, model, log_type, source_batch, request_tokens, response_tokens, total_tokens, session_id"
+_REQUEST_KEYS = ', '.join(f'"{c}"' for c in ("endpoint_id", "timestamp", "timestamp_relative_seconds", "model", "log_type", "source_batch", "request_tokens", "response_tokens", "total_tokens", "reported_total_tokens", "session_id", "elapsed_time", "received_at"))
 
 
 @query(f"SELECT {_REQUEST_KEYS}, count(*) AS copies, min(request_id) AS first FROM requests GROUP BY {_REQUEST_KEYS}")
 def c4_all_field_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.distinct_rows(table(spark, d, "requests"), _REQUEST_KEYS.split(", "), "request_id")
+    """Requests that differ in anything delivered; request_id, given on arrival, tells copies apart."""
+    return cleaning.distinct_rows(table(spark, d, "requests"), [c.strip('"') for c in _REQUEST_KEYS.split(", ")], "request_id")
 
 
 _LEDGER = _JUDGED + """, ledger AS (SELECT r AS reason, coalesce(sum(CASE WHEN r = 'kept' THEN (reason IS NULL)::INT WHEN r = 'duplicate' THEN CASE WHEN reason IS NULL THEN copies - 1 END WHEN reason = r THEN copies END), 0)::BIGINT AS n
-  FROM (SELECT UNNEST(['unparseable_timestamp', 'non_numeric_tokens', 'negative_tokens', 'critical_missing', 'duplicate', 'kept']) AS r) LEFT JOIN judged ON true GROUP BY r)"""
+  FROM (SELECT UNNEST(['unparseable_timestamp', 'non_numeric_tokens', 'negative_tokens', 'critical_missing', 'duplicate', 'kept']) AS r) LEFT JOIN judged ON true GROUP BY r
+  UNION ALL SELECT 'quoting', count(*) FILTER (NOT quoted) FROM v UNION ALL SELECT 'column_count', count(*) FILTER (quoted AND len(cells) <> len(names)) FROM v)"""
+
+
+def ledger_of(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.ledger(all_lines(spark, d), COLUMNS, "line_id", "shape")
 
 
 @query(_LEDGER + " SELECT reason, n FROM ledger")
 def c5_deletion_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.ledger(raw_lines(spark, d), COLUMNS, "line_id")
+    return ledger_of(spark, d)
 
 
-@query(_LEDGER + " SELECT (SELECT count(*) FROM raw) AS raw_rows, sum(n)::BIGINT AS ledger_rows, sum(n) = (SELECT count(*) FROM raw) AS reconciles FROM ledger")
+@query(_LEDGER + " SELECT (SELECT count(*) FROM trace_lines WHERE line_no > 1) AS raw_rows, sum(n)::BIGINT AS ledger_rows, sum(n) = (SELECT count(*) FROM trace_lines WHERE line_no > 1) AS reconciles FROM ledger")
 def c6_ledger_reconciles(spark: SparkSession, d: str) -> DataFrame:
-    raw = raw_lines(spark, d)
-    total = cleaning.ledger(raw, COLUMNS, "line_id").agg(F.sum("n").alias("ledger_rows"))
-    return raw.agg(F.count(F.lit(1)).alias("raw_rows")).join(F.broadcast(total)).withColumn("reconciles", F.col("raw_rows") == F.col("ledger_rows"))  # one row each
+    """The ledger against all lines delivered but headers, those that are no rows included."""
+    lines = table(spark, d, "trace_lines").where(F.coalesce(F.col("line_no") > 1, F.lit(True)))
+    total = ledger_of(spark, d).agg(F.sum("n").alias("ledger_rows"))
+    return lines.agg(F.count(F.lit(1)).alias("raw_rows")).join(F.broadcast(total)).withColumn("reconciles", F.col("raw_rows") == F.col("ledger_rows"))  # one row each
 
 
 @query(_JUDGED + " SELECT count(*) FILTER (reported_total_tokens <> total_tokens) AS mismatches, count(reported_total_tokens) AS reported FROM cleaned")
@@ -261,13 +272,22 @@ def d20_daily_requests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "requests").groupBy("source_batch", eda.day_of(F.col("timestamp")).alias("day_no")).agg(F.count(F.lit(1)).alias("requests"))
 
 
-@query(_LEDGER + """ SELECT count(*) AS raw_rows, (SELECT n FROM ledger WHERE reason = 'kept') AS kept_rows, round(100.0e0 * (count(*) - (SELECT n FROM ledger WHERE reason = 'kept')) / nullif(count(*), 0), 6) AS deleted_percent FROM raw""")
+@query(_LEDGER + """ SELECT (sum(n))::BIGINT AS raw_rows, (max(n) FILTER (reason = 'kept')) AS kept_rows, round(100.0e0 * (sum(n) - max(n) FILTER (reason = 'kept')) / nullif(sum(n), 0), 6) AS deleted_percent FROM ledger""")
 def d22_retention(spark: SparkSession, d: str) -> DataFrame:
-    raw = cleaning.ledger(raw_lines(spark, d), COLUMNS, "line_id")
-    out = raw.agg(F.sum("n").alias("raw_rows"), F.max(F.when(F.col("reason") == "kept", F.col("n"))).alias("kept_rows"))
+    out = ledger_of(spark, d).agg(F.sum("n").alias("raw_rows"), F.max(F.when(F.col("reason") == "kept", F.col("n"))).alias("kept_rows"))
     return out.withColumn("deleted_percent", F.round(F.lit(100.0) * F.try_divide((F.col("raw_rows") - F.col("kept_rows")).cast("double"), F.col("raw_rows")), 6))
 
 
-@query(r"""SELECT bucket, count(*) AS n FROM (SELECT least(floor(ln(1 + total_tokens::DOUBLE) / (ln(100001.0e0) / 80))::BIGINT + 1, 80) AS bucket FROM requests WHERE total_tokens BETWEEN 0 AND 100000) GROUP BY ALL""")
+@query(r"""SELECT source_batch, day_span, gap_hours FROM (SELECT source_batch, (max(s) - min(s)) / 86400.0e0 AS day_span, round((min(s) - lag(max(s)) OVER (ORDER BY source_batch)) / 3600.0e0, 6) AS gap_hours FROM (SELECT source_batch, timestamp_relative_seconds AS s FROM requests) GROUP BY source_batch)""".replace("SELECT source_batch, day_span,", "SELECT source_batch, round(day_span, 6) AS day_span,"))
+def d22_batch_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Days each batch spans, and the hours from the end of the batch before it; negative where they overlap."""
+    s = F.col("timestamp_relative_seconds")
+    ends = table(spark, d, "requests").groupBy("source_batch").agg(F.min(s).alias("first"), F.max(s).alias("last"))
+    by = Window.orderBy("source_batch")  # as many rows as batches
+    gap = (F.col("first") - F.lag("last").over(by)) / 3600.0
+    return ends.select("source_batch", F.round((F.col("last") - F.col("first")) / 86_400.0, 6).alias("day_span"), F.round(gap, 6).alias("gap_hours"))
+
+
+@query(r"""SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN total_tokens < 0 THEN 0 WHEN total_tokens > 100000 THEN 81 ELSE least(floor(ln(1 + total_tokens::DOUBLE) / (ln(100001.0e0) / 80))::BIGINT + 1, 80) END AS bucket FROM requests WHERE total_tokens IS NOT NULL) GROUP BY ALL""")
 def d12_log_histogram(spark: SparkSession, d: str) -> DataFrame:
     return eda.log_histogram(table(spark, d, "requests"), "total_tokens", 80, 100_000)
