@@ -74,7 +74,7 @@ def test_near_windows(spark):
     assert (row["doc_id"], row["exact_windows"], row["best_similarity"]) == (1, 48, 1.0) and row["near_windows"] >= 48
 
 
-def test_radius_is_guaranteed():
+def test_radius_is_guaranteed(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 300, dtype=np.int64).view(np.uint64)
     near = base.copy()
@@ -89,9 +89,10 @@ def test_radius_is_guaranteed():
         seen = np.zeros(1 << 22, bool)
         seen[block & ((1 << 22) - 1)] = True
         index.tables.append((block[order], order, seen, (1 << 22) - 1))
-    left, right, far = index.candidates(near)
+    monkeypatch.setattr(leakage, "PAIRS", 50)
+    found = list(index.candidates(near))
     want = {(a, b) for a in range(300) for b in range(300) if bin(int(near[a] ^ base[b])).count("1") <= 2}
-    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want and far.max() == 2
+    assert {(a, b) for x, y in found for a, b in zip(x.tolist(), y.tolist(), strict=True)} == want and len(found) > 5
 
 
 def test_simhash_is_the_majority():

@@ -126,3 +126,12 @@ def test_tokens_of_long_texts(spark):
 def test_empty(spark):
     assert packing.pack(frame(spark, []), sizes(spark, ("a", 64))).count() == 0
     assert packing.pack(frame(spark, [(1, "a")]), sizes(spark)).count() == 0
+
+
+def test_slices(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_ITEMS", 3)
+    docs = spark.createDataFrame([(k, "word " * (1 + k % 3)) for k in range(40)] + [(90, "a b c " * 30), (91, None)], "doc_id bigint, text string").repartition(5)
+    out = packing.pack(docs, spark.createDataFrame([("w", 10)], "window_name string, capacity_tokens bigint")).toPandas()
+    held = out[out.container_no.notna()]
+    assert (held.groupby("container_no").n_tokens.sum() <= 10).all() and set(out.doc_id) == {*range(40), 90, 91}
+    assert not held.duplicated(["container_no", "offset"]).any() and sorted(held.container_no.unique()) == list(range(int(held.container_no.max()) + 1))

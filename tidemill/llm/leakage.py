@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,16 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n - low, n)
 
 
+def _chunked(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The ranges in runs of about PAIRS members, or of one range: (the run, number of the range in it, member)."""
+    met = np.cumsum(high - low)
+    at = 0
+    while at < len(low):
+        end = max(int(np.searchsorted(met, (met[at - 1] if at else 0) + PAIRS, "right")), at + 1)
+        yield slice(at, end), *_ranges(low[at:end], high[at:end])
+        at = end
+
+
 def _distinct(rows: np.ndarray) -> np.ndarray:
     """False where a value stands further left in its row already."""
     return ~np.tril(rows[:, :, None] == rows[:, None, :], -1).any(axis=2)
@@ -111,26 +123,21 @@ class ItemIndex:
             seen = np.zeros(1 << width, bool)
             seen[block & ((1 << width) - 1)] = True
             self.tables.append((block[order], order, seen, (1 << width) - 1))
+        self.weights = weights
         self.shingles = shingle_hashes(words)
         self.weight = weigh(self.shingles, weights)
         places = _starts(owner, SHINGLE)
         self.places = places[np.argsort(self.shingles[places], kind="stable")]
         self.keys = self.shingles[self.places]
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window of the argument, window of the index, distance) for every pair within the radius, each once."""
-        found = []
+    def candidates(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window of the argument, window of the index) for every pair within the radius, at least once, in bounded portions."""
         for (values, order, seen, mask), block in zip(self.tables, blocks_of(prints, self.radius), strict=True):
             some = np.flatnonzero(seen[block & mask])
-            a, b = np.searchsorted(values, block[some], "left"), np.searchsorted(values, block[some], "right")
-            n = b - a
-            left = np.repeat(some, n)
-            right = order[np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
-            near = np.bitwise_count(prints[left] ^ self.prints[right]) <= self.radius
-            found.append((left[near] << 32) | right[near])
-        both = np.unique(np.concatenate(found))
-        left, right = both >> 32, both & 0xFFFFFFFF
-        return left, right, np.bitwise_count(prints[left] ^ self.prints[right])
+            for run, which, k in _chunked(np.searchsorted(values, block[some], "left"), np.searchsorted(values, block[some], "right")):
+                left, right = some[run][which], order[k]
+                near = np.bitwise_count(prints[left] ^ self.prints[right]) <= self.radius
+                yield left[near], right[near]
 
     def shared(self, shingles: np.ndarray, weight: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window of the argument, window of the index) for at least every pair of that weighted similarity.
@@ -150,16 +157,11 @@ class ItemIndex:
             before = np.cumsum(own, axis=1) - own
             r, c = np.nonzero((own > 0) & (before <= (1 - similarity) * own.sum(axis=1, keepdims=True) + SLACK) & (high > low)[rows])
             left, p = some[a : a + CHUNK][r], rows[r, c]
-            met = np.cumsum(high[p] - low[p])
-            cut = 0
-            while cut < len(p):
-                end = max(int(np.searchsorted(met, (met[cut - 1] if cut else 0) + PAIRS, "right")), cut + 1)
-                which, k = _ranges(low[p[cut:end]], high[p[cut:end]])
+            for run, which, k in _chunked(low[p], high[p]):
                 places = self.places[k]
                 near, j = _ranges(np.searchsorted(self.at, places - reach + 1, "left"), np.searchsorted(self.at, places, "right"))
-                both = np.unique((left[cut:end][which[near]] << 32) | j)
+                both = np.unique((left[run][which[near]] << 32) | j)
                 yield both >> 32, both & 0xFFFFFFFF
-                cut = end
 
     def similarity(self, words: np.ndarray, shingles: np.ndarray, weight: np.ndarray, at: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weighted Jaccard similarity of the windows' shingles, whether the windows are the same word for word)."""
@@ -221,6 +223,30 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BL
         yield cut.where(part == k).select("item_id", "words").toArrow()
 
 
+def summed(rows: np.ndarray, texts: np.ndarray, windows: np.ndarray, same: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+    """[row, text, exact, near, best] per row and text of found pairs: a window that met several windows of a text counts once."""
+    order = np.lexsort((windows, texts, rows))
+    r, t, w, s, v = rows[order], texts[order], windows[order], same[order].astype(np.int64), score[order]
+    if not len(r):
+        return [r, t, s, s, v]
+    pair = np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1])])
+    at = np.flatnonzero(pair | np.concatenate([[True], w[1:] != w[:-1]]))
+    s, v = np.maximum.reduceat(s, at), np.maximum.reduceat(v, at)
+    first = np.flatnonzero(pair[at])
+    return [r[at][first], t[at][first], np.add.reduceat(s, first), np.diff(np.append(first, len(at))), np.maximum.reduceat(v, first)]
+
+
+#: The index a Python worker holds, by the token of the items it was sent: built once a worker, not once a task.
+_held: dict[str, ItemIndex] = {}
+
+
+def held_index(token: str, sent: Broadcast, length: int, radius: int) -> ItemIndex:
+    if token not in _held:
+        _held.clear()
+        _held[token] = ItemIndex(*sent.value, length, radius)
+    return _held[token]
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", length: int = WINDOW, radius: int = RADIUS, similarity: float = SIMILARITY, near: bool = True) -> DataFrame:
     """(doc_id, item_id, exact_windows, near_windows, best_similarity): documents with windows of an item.
 
@@ -245,37 +271,23 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         ids = block.column(0).combine_chunks()
         sent = spark.sparkContext.broadcast((ids, words, owner, weights))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, words, owner, weights = sent.value
-            index = ItemIndex(ids, words, owner, weights, length, radius)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = held_index(token, sent, length, radius)
             for batch in batches:
                 own, of = _flat(batch.column(1))
                 at = _starts(of, length)
                 shingles = shingle_hashes(own)
-                weight = weigh(shingles, weights)
-                left, right, _ = index.candidates(simhash(own, length)[at])
-                pairs = ((left[a : a + PAIRS], right[a : a + PAIRS]) for a in range(0, len(left), PAIRS))
-                found = []
-                for x, y in chain(pairs, index.shared(shingles, weight, at, similarity) if near else ()):
+                weight = weigh(shingles, index.weights)
+                found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))]
+                for x, y in chain(index.candidates(simhash(own, length)[at]), index.shared(shingles, weight, at, similarity) if near else ()):
                     for a in range(0, len(x), PAIRS):
                         i, j = x[a : a + PAIRS], y[a : a + PAIRS]
                         score, same = index.similarity(own, shingles, weight, at[i], j)
                         keep = score >= similarity - SLACK
                         found.append((i[keep], j[keep], score[keep], same[keep]))
-                left, right, score, same = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
-                rows, texts = of[at[left]], owner[index.at[right]]
-                # Several windows of an item may meet one window of the document: it counts once.
-                best: dict[tuple[int, int], dict[int, tuple[bool, float]]] = {}
-                for r, t, w, s, v in zip(rows.tolist(), texts.tolist(), left.tolist(), same.tolist(), score.tolist(), strict=True):
-                    held = best.setdefault((r, t), {})
-                    old = held.get(w, (False, 0.0))
-                    held[w] = (old[0] or s, max(old[1], v))
-                pairs = [(r, t, sum(s for s, _ in h.values()), len(h), max(v for _, v in h.values())) for (r, t), h in best.items()]
-                cols = list(zip(*pairs, strict=True)) if pairs else [[], [], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(cols[0], pa.int64())), ids.take(pa.array(cols[1], pa.int64())), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())],
-                    ["doc_id", "item_id", "exact", "near", "best"],
-                )
+                left, right, score, same = (np.concatenate(c) for c in zip(*found, strict=True))
+                r, t, exact, close, best = summed(of[at[left]], index.owner[index.at[right]], left, same, score)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), index.ids.take(pa.array(t)), pa.array(exact), pa.array(close), pa.array(best)], ["doc_id", "item_id", "exact", "near", "best"])
 
         part = posed.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemill.plans.physical import materialize
 
-#: Slices in which the items of one length are numbered side by side.
-SLICES = 64
+#: Items of one length that are numbered in one task; longer lists are cut into as many slices as they need.
+SLICE_ITEMS = 200_000
 #: The default vocabulary; any byte-pair rank file of the same form can be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public splitting pattern of that vocabulary.
@@ -91,7 +91,7 @@ def reduce_dominated(counts: dict[int, int], capacity: int, bins: Bins) -> dict[
                 times = min(left[n] // k for n, k in pattern.items())
                 if not times:
                     break
-                # A single fixing may change which items are the shortest: only rules that hold for all of them go in bulk.
+                # In bulk: to fix a set takes items away, which adds no feasible set, so the next of the same lengths dominates as well.
                 bins.add(pattern, times)
                 for n, k in pattern.items():
                     left[n] -= k * times
@@ -224,7 +224,7 @@ def pack(documents: DataFrame, containers: DataFrame, doc_id: str = "doc_id", te
     A text that exceeds a capacity is cut into pieces of that capacity and a rest; no other is cut. An instance is wholly
     given by its histogram of lengths, of at most `capacity` entries however many documents there are: only that goes to
     the driver, where sets are fixed by dominance and the rest is packed by best fit, in patterns with multiplicities.
-    Items are then numbered within their length, in slices (one length may hold a large part of all), and look up their
+    Items are then numbered within their length, in slices of about SLICE_ITEMS (one length may hold a large part of all), and look up their
     container by that number. Texts without tokens (null, empty) take no room: container_no is null. Rows that repeat a
     doc_id are items of their own, told apart by copy (0, 1, ... in no set order). Containers with a null name or no
     positive capacity are left out; of equal names each row is a packing of its own capacity.
@@ -240,21 +240,24 @@ def pack(documents: DataFrame, containers: DataFrame, doc_id: str = "doc_id", te
     sized = counted.select("doc_id", "copy", "n_tokens", F.inline(windows))
     pieces = sized.select("window_name", "capacity_tokens", "doc_id", "copy", "n_tokens", F.posexplode(starts).alias("piece_no", "piece_start"))
     size = F.least(F.col("n_tokens") - F.col("piece_start"), F.col("capacity_tokens"))
-    items = pieces.withColumns({"n_tokens": size, "piece_no": F.col("piece_no").cast("bigint"), "slice": F.pmod(F.xxhash64("doc_id", "copy", "piece_no"), F.lit(SLICES)).cast("int")})
+    items = pieces.withColumns({"n_tokens": size, "piece_no": F.col("piece_no").cast("bigint")})
     group = ["window_name", "capacity_tokens", "n_tokens"]
-    tally = materialize(items.where(F.col("n_tokens") > 0).groupBy(*group, "slice").agg(F.count(F.lit(1)).alias("n")))
+    real = items.where(F.col("n_tokens") > 0)
+    # At most capacity lengths for each container size.
+    histogram: dict[tuple[str, int], dict[int, int]] = {w: {} for w in sizes}
+    for name, capacity, length, n in real.groupBy(*group).agg(F.count(F.lit(1))).collect():
+        histogram[name, capacity][length] = n
+    slices = -(-max((n for counts in histogram.values() for n in counts.values()), default=1) // SLICE_ITEMS)
+    real = real.withColumn("slice", F.pmod(F.xxhash64("doc_id", "copy", "piece_no"), F.lit(slices)).cast("int"))
+    tally = real.groupBy(*group, "slice").agg(F.count(F.lit(1)).alias("n"))
     ahead = tally.withColumn("ahead", F.sum("n").over(Window.partitionBy(*group).orderBy("slice")) - F.col("n")).drop("n")
     ahead = ahead.withColumnsRenamed({c: f"a_{c}" for c in [*group, "slice"]})
     same = F.lit(True)
     for c in [*group, "slice"]:
         same = same & (F.col(c) == F.col(f"a_{c}"))
-    numbered = items.withColumn("number", F.row_number().over(Window.partitionBy(*group, "slice").orderBy("doc_id", "copy", "piece_no")) - 1)
+    numbered = real.withColumn("number", F.row_number().over(Window.partitionBy(*group, "slice").orderBy("doc_id", "copy", "piece_no")) - 1)
     numbered = numbered.join(ahead, same, "left").withColumn("number", F.col("number") + F.col("ahead"))
 
-    # At most capacity lengths for each container size.
-    histogram: dict[tuple[str, int], dict[int, int]] = {w: {} for w in sizes}
-    for name, capacity, length, n in tally.groupBy(*group).agg(F.sum("n")).collect():
-        histogram[name, capacity][length] = n
     sent = spark.sparkContext.broadcast({w: _places(pack_lengths(counts, w[1])) for w, counts in histogram.items()})
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +275,9 @@ def pack(documents: DataFrame, containers: DataFrame, doc_id: str = "doc_id", te
 
     kind = dict(documents.dtypes)[doc_id]
     columns = ["window_name", "capacity_tokens", "doc_id", "copy", "n_tokens", "piece_no", "piece_start"]
-    out = numbered.select(*columns, "number").mapInPandas(placed, f"{shape}, doc_id {kind}, copy bigint, n_tokens bigint, piece_no bigint, piece_start bigint, container_no bigint, offset bigint")
+    # Texts without tokens need no number.
+    every = numbered.select(*columns, "number").unionByName(items.where(F.col("n_tokens") == 0).select(*columns, F.lit(0).cast("bigint").alias("number")))
+    out = every.mapInPandas(placed, f"{shape}, doc_id {kind}, copy bigint, n_tokens bigint, piece_no bigint, piece_start bigint, container_no bigint, offset bigint")
     return out.select("window_name", "capacity_tokens", "container_no", "offset", "doc_id", "copy", "piece_no", "piece_start", "n_tokens")
 
 

@@ -68,6 +68,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(spans.shared_windows(_table(spark, d, "documents")))
 
 
+def p9_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The sets of documents that share a passage, as membership: a row per document and set, with the set's first, last and number of documents."""
+    members = spans.sharing_groups(spans.shared_windows(_table(spark, d, "documents")))
+    sets = members.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"))
+    return members.join(sets, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("first_doc", "last_doc", "n_docs", "doc_id")
+
+
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(spans.shared_windows(_table(spark, d, "documents")))
 
@@ -77,7 +84,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_report(documents, spans.shared_windows(documents))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_mergeable, p7_packing, p7_fill, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p5_mergeable, p7_packing, p7_fill, p8_found, p8_leaks, p9_found, p9_groups, p9_spans, p9_shared)}
 
 ORACLES = {}
 
@@ -116,6 +123,8 @@ h AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 m AS (SELECT DISTINCT doc_id, pos, s FROM w SEMI JOIN h USING (s))
 """
 ORACLES["p9_found"] = _WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.s = b.s AND a.doc_id < b.doc_id"
+ORACLES["p9_groups"] = _WINDOWS + """, g AS (SELECT DISTINCT docs FROM (SELECT s, list(DISTINCT doc_id ORDER BY doc_id) AS docs FROM m GROUP BY s))
+SELECT docs[1] AS first_doc, docs[-1] AS last_doc, len(docs) AS n_docs, UNNEST(docs) AS doc_id FROM g"""
 _SPANS = _WINDOWS + r""",
 p AS (SELECT DISTINCT doc_id, pos FROM m),
 g AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 200, true) AS apart FROM p),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.plans.physical import materialize, skew_semi_join
+from tidemill.plans.physical import BROADCAST_BYTES, ROW_BYTES, materialize, skew_semi_join
 
 #: Shortest shared span, in code points.
 SPAN = 200
@@ -140,7 +140,8 @@ def fingerprints(documents: DataFrame, doc_id: str, text: str, span: int = SPAN)
         roll = RollingHash(BASES[0], 1)
         for batch in batches:
             for codes, owner, place in _packs(batch.column(1).to_pylist(), span):
-                hashes = roll.windows(codes, length)
+                # 0 stands for no window in winnow.
+                hashes = np.maximum(roll.windows(codes, length), np.uint64(1))
                 # One span from here lies in one text (and piece) if its last code point follows in place.
                 n = len(hashes) - width + 1
                 starts = (owner[:n] == owner[span - 1 : span - 1 + n]) & (place[span - 1 : span - 1 + n] - place[:n] == span - 1)
@@ -154,7 +155,7 @@ def fingerprints(documents: DataFrame, doc_id: str, text: str, span: int = SPAN)
 def span_windows(documents: DataFrame, regions: DataFrame, doc_id: str, text: str, span: int = SPAN) -> DataFrame:
     """(h1, h2, doc_id, pos): two independent Rabin-Karp hashes of every window of one span that starts in a region.
 
-    regions: (doc_id, starts), starts being the ascending positions p that stand for the window starts p - span / 2 + 1 .. p.
+    regions: written rows (doc_id, starts), one a document, starts being the ascending positions p that stand for the window starts p - span / 2 + 1 .. p.
     """
     reach = span - (span // 2 + 1) + 1
 
@@ -178,7 +179,10 @@ def span_windows(documents: DataFrame, regions: DataFrame, doc_id: str, text: st
                 yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), batch.column(0).take(pa.array(owner[at])), pa.array(place[at])], ["h1", "h2", "doc_id", "pos"])
 
     kind = dict(documents.dtypes)[doc_id]
-    posed = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(regions.withColumnRenamed("doc_id", "r_id"), F.col("doc_id") == F.col("r_id"))
+    # Texts stay where they lie if the counted positions are few enough to be sent to them.
+    size = regions.agg(F.sum(F.size("starts") * 8 + ROW_BYTES)).first()[0] or 0
+    right = regions.withColumnRenamed("doc_id", "r_id")
+    posed = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(right) if size <= BROADCAST_BYTES else right, F.col("doc_id") == F.col("r_id"))
     return posed.select("doc_id", "text", "starts").mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {kind}, pos bigint")
 
 
@@ -196,25 +200,35 @@ def shared_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     n = F.count(F.lit(1)).alias("n")
     repeated = materialize(prints.groupBy("hash").agg(several.alias("several"), n).where("several").select("hash", "n"))
     # As many positions as one document has.
-    regions = skew_semi_join(prints, repeated, ["hash"], "n").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    regions = materialize(skew_semi_join(prints, repeated, ["hash"], "n").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts")))
     windows = materialize(span_windows(documents, regions, doc_id, text, span))
     repeated = materialize(windows.groupBy("h1", "h2").agg(several.alias("several"), n).where("several").select("h1", "h2", "n"))
     return materialize(skew_semi_join(windows, repeated, ["h1", "h2"], "n"))
 
 
-def sharing_pairs(windows: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b, for all documents that share a window; `windows`: rows of shared_windows.
+def sharing_groups(windows: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id) for every distinct set of documents that share a window, written; `windows`: rows of shared_windows.
 
     The windows of one passage are shared by the same documents: windows are told apart by an order-free signature of
-    their documents (their number, least, greatest and two xors of hashes), and one window per signature is paired up.
-    The pairing is salted, so that a window of very many documents is spread over many tasks.
+    their documents (their number, least, greatest and two xors of hashes), and one window (h1, h2) per signature stands
+    for the set. A document has one row for each set it is in, however many documents are in it: every link between
+    documents is held by the rows of a set, without a row per pair.
     """
     own = windows.select("h1", "h2", "doc_id").distinct()
     marks = own.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")
     )
     chosen = materialize(marks.groupBy("n", "a", "b", "x", "y").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.*", "n"))
-    members = materialize(skew_semi_join(own, chosen, ["h1", "h2"], "n"))
+    return materialize(skew_semi_join(own, chosen, ["h1", "h2"], "n"))
+
+
+def sharing_pairs(windows: DataFrame) -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b, for all documents that share a window; `windows`: rows of shared_windows.
+
+    One window per set of documents is paired up, see sharing_groups, which holds the same links in a row per document and
+    set. The pairing is salted, so that a window of very many documents is spread over many tasks.
+    """
+    members = sharing_groups(windows)
     left = members.select("h1", "h2", F.col("doc_id").alias("doc_id_a"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"))
     right = members.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("doc_id").alias("doc_id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SLICES - 1).cast("bigint"))).alias("s"))
     met = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("slice") == F.col("s")) & (F.col("doc_id_a") < F.col("doc_id_b"))
