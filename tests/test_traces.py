@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import scalars
-from tidemill.operators import baselines, bootstrap, cleaning, eda, features, grid, metrics, models, segments
+from tidemill.operators import baselines, bootstrap, cleaning, eda, features, grid, metrics, models, recurrent, segments
 from tidemill.plans.physical import drop_written, materialize, salted_join, sized_join, skew_semi_join
 from tidemill.sources import traces
 from tidemill.streaming import grid as stream
@@ -225,3 +226,35 @@ def test_joins_that_spread(spark, rows):
 
 def test_model_candidates_are_set():
     assert models.candidates(4, 1) == models.candidates(4, 1) and len({str(c) for c in models.candidates(12)}) == 12
+
+
+def test_trees_find_a_step_and_survive_a_dump():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 5))
+    y = np.where(x[:, 1] > 0.3, 5.0, -1.0) + 2 * x[:, 3]
+    model = models.Trees.fit(x, y, 3, 60, 0.2, 5)
+    assert np.mean((model.predict(x) - y) ** 2) < 0.05 * np.var(y) and set(model.gain.argsort()[-2:]) == {1, 3}
+    assert np.allclose(models.Trees.parse(model.dump()).predict(x), model.predict(x))
+    assert models.Trees.fit(x[:0], y[:0], 3, 5, 0.1, 1).predict(x[:2]).tolist() == [0, 0]
+    assert len(set(models.Trees.fit(x[:1], y[:1], 3, 5, 0.1, 1).predict(x).tolist())) == 1
+
+
+def test_recurrent_gradients_and_learning():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(6, 4, 3)), rng.normal(size=6)
+    net = recurrent.Lstm.start(3, 4, 1)
+    guess, held = net.forward(x)
+    for w, g in zip(net.w, net.gradients(x, held, guess - y), strict=True):
+        at = tuple(0 for _ in w.shape)
+        loss = []
+        for e in (1e-6, -2e-6):
+            w[at] += e
+            loss.append(0.5 * np.mean((net.predict(x) - y) ** 2))
+        w[at] += 1e-6
+        assert (loss[0] - loss[1]) / 2e-6 == pytest.approx(g[at], abs=1e-6)
+    x = rng.normal(size=(1500, 8, 2))
+    y = 0.8 * x[:, -1, 0] - 0.5 * x[:, -3, 1]
+    model, history = recurrent.train(x[:1200], y[:1200], x[1200:], y[1200:], 8, 0.0)
+    assert min(h[2] for h in history) < 0.4 * np.var(y) and np.mean((model.predict(x[1200:]) - y[1200:]) ** 2) == pytest.approx(min(h[2] for h in history))
+    stopped = recurrent.train(x[:100], rng.normal(size=100), x[100:200], rng.normal(size=100), 8, 0.0, epochs=30, patience=2)[1]
+    assert len(stopped) < 30

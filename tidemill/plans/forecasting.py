@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import baselines, bootstrap, eda, features, metrics, models, segments
+from tidemill.operators import baselines, bootstrap, eda, features, metrics, models, recurrent, segments
 from tidemill.operators import grid as g
 from tidemill.plans.physical import materialize
 from tidemill.plans.registry import Registry, table
@@ -641,65 +641,252 @@ def m11_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(eda.rank_fusion(metrics.ranked(ev, ["horizon"], [F.col("mae"), F.col("model")]), "model", "rank"))
 
 
-@query(r"""WITH c AS (SELECT endpoint_id AS candidate, quantile AS dropout, train_rows AS units, p95_threshold AS valid_mae, train_rows % 7 AS f1, train_rows % 5 AS lookback FROM burst_thresholds WHERE p95_threshold IS NOT NULL)
-SELECT candidate, row_number() OVER (ORDER BY valid_mae, f1 DESC, units, lookback, dropout DESC, candidate) AS rank, row_number() OVER (ORDER BY valid_mae, f1 DESC, units, lookback, dropout DESC, candidate) = 1 AS selected FROM c""")
+@query(r"""WITH c AS (SELECT definition, endpoint_id AS candidate, quantile AS dropout, train_rows AS units, p95_threshold AS valid_mae, train_rows % 7 AS f1, train_rows % 5 AS lookback FROM burst_thresholds WHERE p95_threshold IS NOT NULL)
+SELECT definition, candidate, row_number() OVER (PARTITION BY definition ORDER BY valid_mae, f1 DESC, units, lookback, dropout DESC, candidate) AS rank, row_number() OVER (PARTITION BY definition ORDER BY valid_mae, f1 DESC, units, lookback, dropout DESC, candidate) = 1 AS selected FROM c""")
 def m8_mixed_order_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Selection by several keys in mixed directions, here over the thresholds as candidates."""
-    c = table(spark, d, "burst_thresholds").where(F.col("p95_threshold").isNotNull()).select(F.col(KEY).alias("candidate"), F.col("quantile").alias("dropout"), F.col("train_rows").alias("units"), F.col("p95_threshold").alias("valid_mae"), (F.col("train_rows") % 7).alias("f1"), (F.col("train_rows") % 5).alias("lookback"))
-    return metrics.ranked(c, [], [F.col("valid_mae"), F.desc("f1"), F.col("units"), F.col("lookback"), F.desc("dropout"), F.col("candidate")]).select("candidate", "rank", "selected")
+    """Selection by several keys in mixed directions, here over the thresholds of each definition as candidates; see m8_lstm_selection for real ones."""
+    c = table(spark, d, "burst_thresholds").where(F.col("p95_threshold").isNotNull()).select("definition", F.col(KEY).alias("candidate"), F.col("quantile").alias("dropout"), F.col("train_rows").alias("units"), F.col("p95_threshold").alias("valid_mae"), (F.col("train_rows") % 7).alias("f1"), (F.col("train_rows") % 5).alias("lookback"))
+    return metrics.ranked(c, ["definition"], [F.col("valid_mae"), F.desc("f1"), F.col("units"), F.col("lookback"), F.desc("dropout"), F.col("candidate")]).select("definition", "candidate", "rank", "selected")
 
 
-# -- fitted models (no SQL)
+# -- fitted models (no SQL): fitted on bounded seeded samples, judged on all rows
 
+_CANDIDATES = 12
+_ROW = [KEY, "feature_time"]
 
-def _h15(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(features.horizon_dataset(matrix_of(spark, d), KEY, 15))
+
+#: Fitted models and their figures by session, data and name: queries over one table share a fit, as if loaded from a store.
+_fits: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, build):
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _fits:
+        _fits[key] = build()
+    return _fits[key]
+
+
+def _kept(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A table of a few rows (candidates by horizon), kept with the fits."""
+    rows, schema = _once(spark, d, name, lambda: (lambda df: (df.collect(), df.schema))(build()))
+    return spark.createDataFrame(rows, schema)
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The feature matrix, written once for all horizons and models."""
+    return materialize(matrix_of(spark, d))
+
+
+def _dataset(matrix: DataFrame):
+    """horizon -> its dataset with all 36 features."""
+    return lambda h: features.horizon_dataset(matrix, KEY, h)
+
+
+def _searched(matrix: DataFrame, horizons=features.HORIZONS) -> DataFrame:
+    return models.search(_dataset(matrix), _ROW, features.FEATURES, horizons, _CANDIDATES)
+
+
+def _refitted(matrix: DataFrame, params: dict[int, dict], names=features.FEATURES, log_target: bool = False) -> dict[int, models.Trees]:
+    """By horizon a model of the selected parameters, fitted on train and valid together."""
+    past = lambda h: _dataset(matrix)(h).where(F.col("split").isin("train", "valid"))
+    samples = {h: models.sampled(past(h), _ROW, [*names, "target"]) for h in params}
+    return dict(zip(params, models.fit(samples, names, list(params.items()), matrix.sparkSession, log_target), strict=True))
+
+
+def _errors(df: DataFrame, keys: list[str]) -> DataFrame:
+    return round_doubles(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in metrics.regression().items()]), 4)
 
 
 @query()
 def m5_gbt_search(spark: SparkSession, d: str) -> DataFrame:
-    """Search over seeded candidates on train and valid (m5), ranked with the tie-break (m6)."""
-    data = _h15(spark, d)
-    return round_doubles(models.search(data.where(F.col("split") == "train"), data.where(F.col("split") == "valid"), features.feature_sets()["lags_and_phase"], 3))
+    """Search of 12 seeded candidates on all 36 features for each horizon (m5), ranked with the tie-break (m6)."""
+    return round_doubles(_winners(spark, d, _matrix(spark, d)))
+
+
+def _winners(spark: SparkSession, d: str, matrix: DataFrame) -> DataFrame:
+    return _kept(spark, d, "search", lambda: _searched(matrix))
 
 
-def _fitted(spark: SparkSession, data: DataFrame, log_target: bool = False):
-    names = features.feature_sets()["lags_and_phase"]
-    return models.fit(data.where(F.col("split").isin("train", "valid")), names, {"maxDepth": 3, "maxIter": 5, "stepSize": 0.1}, log_target=log_target), names
+def _gbt(spark: SparkSession, d: str, matrix: DataFrame) -> dict[int, models.Trees]:
+    """The refitted winners by horizon."""
+    return _once(spark, d, "gbt", lambda: _refitted(matrix, models.selected(_winners(spark, d, matrix))))
+
+
+def _gbt_test(spark: SparkSession, d: str, matrix: DataFrame) -> DataFrame:
+    """The one pass over the test split by the refitted models of the search's winners."""
+    out = None
+    for h, model in _gbt(spark, d, matrix).items():
+        part = models.predict(_dataset(matrix)(h).where(F.col("split") == "test"), features.FEATURES, {"gbt": model})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def m5_gbt_test(spark: SparkSession, d: str) -> DataFrame:
+    """Errors on the test split after the refit on train and valid."""
+    return _errors(_gbt_test(spark, d, _matrix(spark, d)).withColumnRenamed("target", "y_true"), ["horizon"])
 
 
 @query()
 def m9_importance(spark: SparkSession, d: str) -> DataFrame:
-    model, names = _fitted(spark, _h15(spark, d))
-    return round_doubles(models.importance(model, names, spark))
+    """Of the search's winner for 15 minutes, over all 36 features."""
+    return round_doubles(models.importance(_gbt(spark, d, _matrix(spark, d))[15], features.FEATURES, spark))
 
 
 @query()
 def m10_permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    data = _h15(spark, d)
-    model, names = _fitted(spark, data)
-    sample = eda.seeded_sample(data.where(F.col("split") == "valid"), [KEY, "feature_time"], 2000)
-    return round_doubles(models.permutation_importance(model, materialize(sample), names))
+    """Of the search's winner for 15 minutes, on a seeded sample of 2,000 valid rows."""
+    matrix = _matrix(spark, d)
+    sample = models.sampled(_dataset(matrix)(15).where(F.col("split") == "valid"), _ROW, [*features.FEATURES, "target"], 2000)
+    return round_doubles(models.permutation_importance(_gbt(spark, d, matrix)[15], sample, features.FEATURES, spark))
 
 
 @query()
 def m12_log_target(spark: SparkSession, d: str) -> DataFrame:
-    """A model of log(1 + load), brought back, on the test split."""
-    data = _h15(spark, d)
-    model, _ = _fitted(spark, data, True)
-    out = models.predict(model, data.where(F.col("split") == "test"), True)
-    return round_doubles(out.agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in metrics.regression().items()]))
+    """A model of log(1 + load) with the winner's parameters, brought back, on the test split."""
+    matrix = _matrix(spark, d)
+    params = {15: models.selected(_winners(spark, d, matrix))[15]}
+    model = _refitted(matrix, params, log_target=True)[15]
+    out = models.predict(_dataset(matrix)(15).where(F.col("split") == "test"), features.FEATURES, {"gbt_log": model}, True)
+    return _errors(out.withColumnRenamed("target", "y_true"), ["horizon"])
 
 
 @query()
 def m13_zero_shot(spark: SparkSession, d: str) -> DataFrame:
-    """A model fitted on batches 1 and 2, saved, loaded (s14) and applied unchanged to batch 3."""
-    old = g.build_series(first_batches(spark, d), KEY)
-    model, names = _fitted(spark, materialize(features.horizon_dataset(features.feature_matrix(old, KEY), KEY, 15)))
-    frozen = models.load(models.save(model, spark, "h15"))
-    new = features.horizon_dataset(features.feature_matrix(batch3_series(spark, d), KEY), KEY, 15, names, need_split=False)
-    out = models.predict(frozen, new)
-    return round_doubles(out.agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in metrics.regression().items()]))
+    """A model searched and fitted on batches 1 and 2, saved, loaded (s14) and applied unchanged to all of batch 3."""
+    old = materialize(features.feature_matrix(g.build_series(first_batches(spark, d), KEY), KEY))
+    frozen = models.load(spark, models.save(_refitted(old, models.selected(_searched(old, [15])))[15], spark, "h15"))
+    series = materialize(batch3_series(spark, d))
+    new = features.horizon_dataset(features.feature_matrix(series, KEY), KEY, 15, need_split=False)
+    return _errors(models.predict(new, features.FEATURES, {"gbt": frozen}).withColumnRenamed("target", "y_true"), [])
+
+
+@query()
+def e22_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Feature sets with the winner's parameters, fitted on train, ranked by the error on all valid rows."""
+    matrix = _matrix(spark, d)
+    params, data, out = models.selected(_winners(spark, d, matrix))[15], _dataset(matrix)(15), None
+    for name, names in features.feature_sets().items():
+        sample = models.sampled(data.where(F.col("split") == "train"), _ROW, [*names, "target"])
+        (model,) = models.fit({15: sample}, names, [(15, params)], spark)
+        part = models.predict(data.where(F.col("split") == "valid").select("target", *names), names, {name: model})
+        out = part if out is None else out.unionByName(part)
+    ev = out.groupBy(F.col("model").alias("feature_set")).agg(F.avg(F.abs(F.col("y_pred") - F.col("target"))).alias("valid_mae"))
+    return round_doubles(metrics.ranked(ev, [], [F.col("valid_mae"), F.col("feature_set")]), 4)
+
+
+# -- the recurrent model
+
+_LONGEST = max(c["lookback"] for c in recurrent.CANDIDATES)
+
+
+def _sequences(series: DataFrame, horizon: int) -> DataFrame:
+    """All sequences of the ten inputs, scaled by what train sequences see, with the scaled target and how to bring it back."""
+    inputs = features.sequence_inputs(series)
+    stats = features.scaler(inputs, KEY, features.SEQUENCE_INPUTS, _LONGEST, horizon)
+    # Ten entries a key.
+    held = materialize(stats.groupBy(F.col(KEY).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("mean", "scale")))).alias("stats")))
+    put = inputs.join(held, F.col(KEY).eqNullSafe(F.col("k")))
+    scaled = put.select(KEY, "timestamp", "bin_idx", "split", "actual_burst", "token_load", *[features.scaled(F.col(c).cast("double"), F.col("stats")[c]["mean"], F.col("stats")[c]["scale"]).alias(f"in_{c}") for c in features.SEQUENCE_INPUTS])
+    out = features.sequences(scaled, KEY, [f"in_{c}" for c in features.SEQUENCE_INPUTS], _LONGEST, horizon).join(held, F.col(KEY).eqNullSafe(F.col("k")))
+    mean, scale = F.col("stats")["token_load"]["mean"], F.col("stats")["token_load"]["scale"]
+    out = out.select(KEY, "origin", "target_time", "split", F.lit(horizon).cast("bigint").alias("horizon"), "target", "sequence", mean.alias("mean"), scale.alias("scale"))
+    return materialize(out.withColumn("scaled_target", features.scaled(F.col("target"), F.col("mean"), F.col("scale"))))
+
+
+def _lstm_sample(rows: DataFrame, *splits: str):
+    return models.sampled(rows.where(F.col("split").isin(*splits)), [KEY, "origin"], ["sequence", "scaled_target"])
+
+
+def _lstm_search(series: DataFrame) -> tuple[dict[int, DataFrame], DataFrame, dict]:
+    """(sequences by horizon, ranked candidates, histories) of all candidates, fitted on train and stopped by valid."""
+    spark, rows = series.sparkSession, {h: _sequences(series, h) for h in features.HORIZONS}
+    tasks = [(h, p, recurrent.EPOCHS) for h in rows for p in recurrent.CANDIDATES]
+    fitted = recurrent.fit({h: (_lstm_sample(r, "train"), _lstm_sample(r, "valid")) for h, r in rows.items()}, tasks, spark)
+    n = len(recurrent.CANDIDATES)
+    thresholds = series.groupBy(F.col(KEY).alias("k")).agg(F.max("threshold").alias("threshold"))
+    judged = None
+    for i, (h, r) in enumerate(rows.items()):
+        named = {str(k): (fitted[i * n + k][0], p["lookback"]) for k, p in enumerate(recurrent.CANDIDATES)}
+        part = recurrent.predict(r.where(F.col("split") == "valid").drop("scaled_target"), named)
+        judged = part if judged is None else judged.unionByName(part)
+    judged = judged.withColumnRenamed("target", "y_true").join(thresholds, F.col(KEY).eqNullSafe(F.col("k")))
+    ev = metrics.evaluate(judged, ["horizon", "model"]).select("horizon", F.col("model").cast("int").alias("candidate"), F.col("mae").alias("valid_mae"), "f1")
+    table = spark.createDataFrame([(k, p["units"], p["lookback"], p["dropout"]) for k, p in enumerate(recurrent.CANDIDATES)], "candidate int, units int, lookback int, dropout double")
+    found = metrics.ranked(ev.join(F.broadcast(table), "candidate"), ["horizon"], [F.col("valid_mae"), F.desc("f1"), F.col("units"), F.col("lookback"), F.desc("dropout"), F.col("candidate")])
+    return rows, found, {(h, k): fitted[i * n + k][1] for i, h in enumerate(rows) for k in range(n)}
+
+
+def _lstm(spark: SparkSession, d: str, series: DataFrame) -> tuple[list, object, dict, dict]:
+    """(ranked candidates and their schema, histories, winners by horizon as (model, lookback)); winners are refitted on train and valid for the epochs that were best."""
+
+    def build():
+        rows, found, histories = _lstm_search(series)
+        table = found.collect()  # a few candidates a horizon
+        best = {r["horizon"]: r["candidate"] for r in table if r["selected"]}
+        samples = {h: (_lstm_sample(rows[h], "train", "valid"), _lstm_sample(rows[h], "none")) for h in best}
+        tasks = [(h, recurrent.CANDIDATES[k], min(histories[h, k], key=lambda e: (e[2] != e[2], e[2]))[0]) for h, k in best.items()]
+        fitted = recurrent.fit(samples, tasks, spark)
+        return table, found.schema, histories, {h: (model, p["lookback"]) for (h, p, _), (model, _) in zip(tasks, fitted, strict=True)}
+
+    return _once(spark, d, "lstm", build)
+
+
+def _lstm_test(spark: SparkSession, d: str, series: DataFrame) -> DataFrame:
+    """The one pass over the test split by the winners."""
+    out = None
+    for h, winner in _lstm(spark, d, series)[3].items():
+        part = recurrent.predict(_sequences(series, h).where(F.col("split") == "test").drop("scaled_target"), {"lstm": winner})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def m7_lstm_test(spark: SparkSession, d: str) -> DataFrame:
+    """The recurrent model: fit with early stopping, selection (m8), refit, one pass over test."""
+    return _errors(_lstm_test(spark, d, materialize(series_of(spark, d))).withColumnRenamed("target", "y_true"), ["horizon"])
+
+
+@query()
+def m8_lstm_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each horizon by error, f1 downward, units, lookback, dropout downward."""
+    rows, schema, *_ = _lstm(spark, d, materialize(series_of(spark, d)))
+    return round_doubles(spark.createDataFrame(rows, schema))
+
+
+@query()
+def e25_lstm_gap(spark: SparkSession, d: str) -> DataFrame:
+    """The generalization gap of every training history of the recurrent model."""
+    return metrics.generalization_gap(recurrent.history_table(_lstm(spark, d, materialize(series_of(spark, d)))[2], spark), ["horizon", "candidate"])
+
+
+def four_models(spark: SparkSession, d: str) -> DataFrame:
+    """Test predictions of both baselines, the trees and the recurrent model in one long table, over the windows that all four forecast."""
+    series = materialize(series_of(spark, d))
+    long = baselines.long(baselines.wide(series, KEY), KEY).where(F.col("split") == "test")
+    thresholds = series.groupBy(F.col(KEY).alias("k")).agg(F.max("threshold").alias("threshold"))
+    fitted = _gbt_test(spark, d, materialize(features.feature_matrix(series, KEY))).select(KEY, "target_time", "split", "horizon", "model", "target", "y_pred")
+    fitted = fitted.unionByName(_lstm_test(spark, d, series).select(KEY, "target_time", "split", "horizon", "model", "target", "y_pred")).join(thresholds, F.col(KEY).eqNullSafe(F.col("k"))).drop("k")
+    fitted = fitted.select(KEY, F.col("target_time").alias("timestamp"), "split", "horizon", "model", F.col("target").alias("y_true"), "y_pred", (F.col("target") >= F.col("threshold")).alias("actual_burst"), (F.col("y_pred") >= F.col("threshold")).alias("predicted_burst"), "threshold")
+    every = materialize(long.unionByName(fitted))
+    whole = every.groupBy(F.col(KEY).alias("k"), F.col("timestamp").alias("t"), F.col("horizon").alias("h")).agg(F.count_distinct("model").alias("m")).where(F.col("m") == 4)
+    return every.join(whole, F.col(KEY).eqNullSafe(F.col("k")) & (F.col("timestamp") == F.col("t")) & (F.col("horizon") == F.col("h")), "left_semi")
+
+
+@query()
+def e7_four_models(spark: SparkSession, d: str) -> DataFrame:
+    """All four models by horizon on the same test windows: errors, detection, average precision, improvement and intervals of the error."""
+    pred, keys = materialize(four_models(spark, d)), ["model", "horizon"]
+    ev = metrics.improvement(metrics.evaluate(pred, keys), ["horizon"])
+    ap = metrics.average_precision(pred, keys).drop("defined")
+    low = bootstrap.block_bootstrap(pred, keys, _REPLICATES, 42).where(F.col("metric") == "mae").select(*keys, F.col("low").alias("mae_low"), F.col("high").alias("mae_high"))
+    return round_doubles(ev.join(ap, keys).join(low, keys).select(*keys, "n", "mae", "mae_low", "mae_high", "rmse", "smape_percent", "bias", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "average_precision", "improvement_percent"), 4)
+
+
+@query()
+def e8_four_models(spark: SparkSession, d: str) -> DataFrame:
+    """The coverage gates over all four models."""
+    return metrics.coverage_gates(four_models(spark, d), KEY, [*baselines.MODELS, "gbt", "lstm"])
 
 
 # -- windows in blocks, and the streaming extension
