@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.metrics import confusion, detection, regression
+from tidemill.operators.spikes import source_medians
 
 DAY_PARTS = ["00–06h", "06–12h", "12–18h", "18–24h"]
 
 
 def composition_medians(series: DataFrame) -> DataFrame:
-    """(gpt4_median, api_median): exact medians of the shares over train windows with requests, one row."""
+    """(gpt4_median, api_median): exact medians of the shares over train windows with requests, one row; see source_medians."""
     n = F.nullif(F.col("request_count"), F.lit(0).cast("bigint"))
     used = series.where((F.col("split") == "train") & (F.col("request_count") > 0))
-    return used.agg(F.median(F.col("gpt4_request_count").cast("double") / n).alias("gpt4_median"), F.median(F.col("api_request_count").cast("double") / n).alias("api_median"))
+    shares = F.array(*[F.struct(F.lit(k).alias("share"), (F.col(f"{k}_request_count").cast("double") / n).alias("value")) for k in ("gpt4", "api")])
+    medians = source_medians(used.select(F.explode(shares).alias("x")).select("x.*"), ["share"], "value", ["value"])
+    return medians.agg(*[F.max(F.when(F.col("share") == k, F.col("median"))).alias(f"{k}_median") for k in ("gpt4", "api")])
 
 
 def day_part(ts: Column) -> Column:
