@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tidemill.llm import spans
+from tidemill.plans.physical import materialize
 
 
 def brute(docs, n):
@@ -57,6 +58,18 @@ def test_pairs_and_spans(spark, case):
     assert {tuple(r) for r in spans.shared_spans(windows, 20).collect()} == covered(case, 20)
 
 
+def test_nothing_uncounted_is_broadcast(spark, case, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    docs = frame(spark, case)
+    pairs = spans.sharing_pairs(spans.shared_windows(docs, span=20))
+    assert "SortMergeJoin" in plan(pairs) and "Broadcast" not in plan(pairs)
+    regions = materialize(spark.createDataFrame([(3, [0, 5])], "doc_id bigint, starts array<bigint>"))
+    assert "BroadcastHashJoin" in plan(spans.span_windows(docs, regions, "doc_id", "text", 20))
+    monkeypatch.setattr(spans, "BROADCAST_BYTES", 100)
+    posed = spans.span_windows(docs, regions, "doc_id", "text", 20)
+    assert "SortMergeJoin" in plan(posed) and "Broadcast" not in plan(posed)
+
+
 def test_long_texts_in_pieces(spark, case, monkeypatch):
     joined = [(1, "".join(t or "" for _, t in case[:30])), (2, "".join(t or "" for _, t in case[20:])), (3, "q" * 30)]
     codes = [spans.codes_of(t) for _, t in joined]
