@@ -149,6 +149,35 @@ def test_bootstrap_equals_resampling(spark):
         assert r["mae"] == pytest.approx(sum(abs(a - b) for _, _, a, b, _ in rows) / len(rows))
 
 
+def test_bootstrap_precision_equals_resampling(spark, monkeypatch):
+    rng = random.Random(5)
+    score = lambda: rng.choice([0.0, -2.0, 3.0, 3.0, float(rng.randrange(1, 400)), rng.random() * 9])
+    data = [(m, moment(86_400 * d + 300 * k), score(), rng.random() < 0.2) for m, days in (("a", 9), (None, 4)) for d in range(days) for k in range(rng.randrange(1, 30))]
+    data += [("a", moment(86_400), None, True), ("b", moment(0), 1.0, False)]
+    df = spark.createDataFrame(data, "m string, timestamp timestamp, y_pred double, actual_burst boolean")
+    replicates, n_days = 30, {"a": 9, None: 4, "b": 1}
+    sizes = spark.createDataFrame(list(n_days.items()), "m string, blocks bigint")
+    times = {(r["m"], r["replicate"], r["pos"]): r["times"] for r in bootstrap.draws(sizes, ["m"], replicates, 42).collect()}
+    assert {(p, r): n for (m, r, p), n in times.items() if m == "a"} == {(p, r): bootstrap.drawn_times(9, replicates, 42)[p, r] for p, r in zip(*np.nonzero(bootstrap.drawn_times(9, replicates, 42)), strict=True)}
+    want = {}
+    for m in n_days:
+        for r in range(replicates):
+            rows = [(x, b) for k, t, x, b in data if k == m for _ in range(times.get((m, r, t.day - 1), 0))]
+            total, seen, hits, ap = sum(b for _, b in rows), 0, 0, 0.0
+            for x in sorted({x for x, _ in rows if x is not None}, reverse=True):
+                group = [b for y, b in rows if y == x]
+                seen, hits = seen + len(group), hits + sum(group)
+                ap += sum(group) / max(total, 1) * hits / seen
+            want[m, r] = ap
+    for slice_rows, cells in ((10, 60), (50_000, 1_000_000)):
+        monkeypatch.setattr(bootstrap, "SLICE_ROWS", slice_rows)
+        monkeypatch.setattr(bootstrap, "CELLS", cells)
+        got = {(r["m"], r["replicate"]): r["average_precision"] for r in bootstrap.replicate_precision(df, ["m"], replicates, 42).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+    ends = {r["m"]: (r["low"], r["high"]) for r in bootstrap.bootstrap_precision(df, ["m"], replicates, 42).collect()}
+    assert ends == {m: tuple(pytest.approx(float(x)) for x in np.percentile([want[m, r] for r in range(replicates)], [2.5, 97.5])) for m in n_days}
+
+
 def test_segments_and_phases(spark):
     got = spark.createDataFrame([(moment(6 * 3600),), (moment(6 * 3600 - 1),), (moment(7 * 86_400 + 5),)], "t timestamp").select(segments.day_part(F.col("t")), segments.week_phase(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [("06–12h", "Relative phase 1"), ("00–06h", "Relative phase 1"), ("00–06h", "Relative phase 1")]
