@@ -99,3 +99,36 @@ def test_spikes_are_all_proposed(spark):
     got = {r["id"] for r in spikes.spikes(df.drop("high"), ["s"], "v", "t", ["id"], 20).collect()}
     want = {i for s, i, _, v in data if v is not None and v > 20 * statistics.median(x for k, _, _, x in data if k == s and x is not None)}
     assert got == want and len(want) > 50
+
+
+def test_readings_are_passed_twice_for_spikes(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def through(frames):
+        for pdf in frames:
+            passed.add(len(pdf))
+            yield pdf
+
+    ts = lambda k: dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(hours=k)
+    data = [("a", k, ts(k), 100 + k % 7) for k in range(200)] + [("a", 900, ts(3), 9000)]
+    df = spark.createDataFrame(data, "s string, id bigint, t timestamp, v bigint")
+    assert [r["id"] for r in spikes.spikes(df.mapInPandas(through, df.schema), ["s"], "v", "t", ["id"], 20).collect()] == [900]
+    assert passed.value == 2 * len(data)
+
+
+def test_only_runs_and_ends_leave_their_block(spark, monkeypatch):
+    written, materialize = [], spikes.materialize
+    monkeypatch.setattr(spikes, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    ts = lambda k: dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=k)
+    data = [("a", ts(k), k, 7 if 500 <= k < 512 else 0 if 600 <= k < 700 else 9 if 800 <= k < 811 else 1000 + k) for k in range(1000)]
+    df = spark.createDataFrame(data, "src string, ts timestamp, id bigint, v bigint")
+    assert {r["row_id"] for r in spikes.stuck_rows(df, "src", "ts", "id", ["v"]).collect()} == set(range(500, 512))
+    assert [w.count() for w in written] == [12 + 2]
+
+
+def test_spikes_and_runs_of_many_keys(spark, monkeypatch):
+    from tests.oracle import DATA, compare, connect
+
+    # Beyond the broadcast, the profiles of the sources meet their readings by a salted key.
+    monkeypatch.setattr("tidemill.plans.physical.BROADCAST_BYTES", 0)
+    compare(spark, connect(), problems.p4_found, problems.ORACLES["p4_found"], DATA)

@@ -82,25 +82,30 @@ def _series_readings(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumns({"impossible": bad, "counts": F.coalesce(F.col("request_count") > 0, F.lit(False))})
 
 
-def _long(readings: DataFrame, tbl: str, fields: list[str]) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("bigint").alias("value"), F.array_contains("impossible", f).alias("impossible")) for f in fields]))
-    return readings.select(F.lit(tbl).alias("tbl"), "row_id", "endpoint_id", "timestamp", "counts", pairs.alias("x")).select("tbl", "row_id", "endpoint_id", "timestamp", "counts", "x.*")
+#: The fields that hold readings, by table.
+READINGS = [("requests", "total_tokens"), ("requests", "response_tokens"), ("series_5min", "token_load")]
+
+
+def _named(rows: DataFrame, kind: str) -> DataFrame:
+    """(tbl, row_id, field, kind) of rows that bear the position of their field in READINGS."""
+    tbl, field = [F.element_at(F.array(*[F.lit(x) for x in names]), F.col("reading") + 1) for names in zip(*READINGS)]
+    return rows.select(tbl.alias("tbl"), "row_id", field.alias("field"), F.lit(kind).alias("kind"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    requests, series = _requests_readings(spark, d), _series_readings(spark, d)
-    readings = _long(requests, "requests", ["total_tokens", "response_tokens"]).unionByName(_long(series, "series_5min", ["token_load"]))
-    keys = ["tbl", "endpoint_id", "field"]
-    sound = readings.where(~F.col("impossible") & F.col("counts") & F.col("value").isNotNull()).drop("impossible", "counts")
-    high = spikes.spikes(sound, keys, "value", "timestamp", ["row_id"], TIMES_MEDIAN)
-    out = ["tbl", "row_id", "field"]
-    stuck = spikes.stuck_rows(requests, "endpoint_id", "timestamp", "row_id", ["total_tokens", "response_tokens"]).withColumn("tbl", F.lit("requests"))
-    stuck = stuck.unionByName(spikes.stuck_rows(series, "endpoint_id", "timestamp", "row_id", ["token_load"]).withColumn("tbl", F.lit("series_5min")))
-    return (
-        readings.where("impossible").select(*out, F.lit("impossible").alias("kind"))
-        .unionByName(high.select(*out, F.lit("spike").alias("kind")))
-        .unionByName(stuck.select(*out, F.lit("stuck").alias("kind")))
-    )
+    tables = {"requests": _requests_readings(spark, d), "series_5min": _series_readings(spark, d)}
+    sound = impossible = None
+    for k, (tbl, f) in enumerate(READINGS):
+        bad = F.array_contains("impossible", f)
+        of = lambda rows: rows.select(F.lit(k).alias("reading"), "row_id", "endpoint_id", "timestamp", F.col(f).cast("bigint").alias("value"))  # noqa: B023, E731
+        good, no = of(tables[tbl].where(~bad & F.col("counts") & F.col(f).isNotNull())), of(tables[tbl].where(bad))
+        sound, impossible = (good, no) if sound is None else (sound.unionByName(good), impossible.unionByName(no))
+    high = spikes.spikes(sound, ["endpoint_id", "reading"], "value", "timestamp", ["row_id"], TIMES_MEDIAN)
+    found = _named(impossible, "impossible").unionByName(_named(high, "spike"))
+    for tbl, rows in tables.items():
+        stuck = spikes.stuck_rows(rows, "endpoint_id", "timestamp", "row_id", [f for t, f in READINGS if t == tbl])
+        found = found.unionByName(stuck.select(F.lit(tbl).alias("tbl"), "row_id", "field", F.lit("stuck").alias("kind")))
+    return found
 
 
 def p4_context(spark: SparkSession, d: str) -> DataFrame:
